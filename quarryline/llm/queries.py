@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe, simhash, simple8b, vector_packing, vector_search
+from . import quality_ledger, sentencepiece_bpe, simhash, simple8b, vector_packing, vector_search
 from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,14 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality_ledger.ledger(table(spark, sf_dir, "documents"))
+    base = F.col("failures").bitwiseAND(F.lit(quality_ledger.mask("base"))) != 0
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return book.select("doc_id", *measures, base.alias("base_failed"), quality_ledger.kept("v1").alias("kept"), "failures")
+
+
 @query
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "simple8b")
