@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_ledger, sentencepiece_bpe, simhash, simple8b, vector_packing, vector_search
+from . import chat_format, feistel, quality_ledger, sentencepiece_bpe, simhash, simple8b, vector_packing, vector_search
 from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: A key for the synthetic tables; a real one comes from a secret store.
+PSEUDONYM_KEY = "synthetic tables"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -28,6 +30,29 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", *measures, base.alias("base_failed"), quality_ledger.kept("v1").alias("kept"), "failures")
 
 
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    done = chat_format.format_conversations(messages.withColumn("parts", chat_format.text_parts(F.col("text"))))
+    read = done.select("conv_id", "formatted", chat_format.parse_turns(F.col("formatted")).alias("turns"), chat_format.parse_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = feistel.pseudonymize(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+    return done.select("doc_id", "text", "lang", "source", F.size("findings").cast("long").alias("n_findings"), F.array_join(F.transform("findings", lambda m: F.concat_ws(":", m["kind"], m["pseudonym"])), ";").alias("findings"))
+
+
 @query
 def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "simple8b")
