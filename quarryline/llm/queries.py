@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, feistel, quality_ledger, sentencepiece_bpe, simhash, simple8b, vector_packing, vector_search
+from . import chat_format, feistel, quality_ledger, secret_scan, sentencepiece_bpe, sharding, simhash, simple8b, vector_packing, vector_search
 from .common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: A key for the synthetic tables; a real one comes from a secret store.
 PSEUDONYM_KEY = "synthetic tables"
+#: Into so many arrivals the documents are dealt.
+ARRIVALS = 8
+
+ORACLE_SQL["op1_sharding"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +26,16 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, scratch_path(spark, "shards"))
+    store.append_by(docs.withColumn("arrival", F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))), "arrival")
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "text", "lang", "source", "n_chars")
+
+
 @query
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_ledger.ledger(table(spark, sf_dir, "documents"))
@@ -30,6 +44,12 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", *measures, base.alias("base_failed"), quality_ledger.kept("v1").alias("kept"), "failures")
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.train(spark))
+    return done.select("doc_id", "text", "lang", "source", "n_candidates", "n_secrets")
+
+
 @query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
