@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +41,28 @@ def usable(vector: Column) -> Column:
 
 
 def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of (id, vector of doubles) packed vertically, `most` to a block, where they lie."""
+    """Rows of (id, vector of doubles) packed vertically, `most` to a block, where they lie; block is the number of the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(), batch.column(1)
-            flat = vectors.flatten().to_numpy().reshape(len(ids), -1)
+        part, held, n = TaskContext.get().partitionId(), [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, flat = (np.concatenate(x) for x in zip(*held, strict=True))
             for at in range(0, len(ids), most):
                 own = np.ascontiguousarray(flat[at : at + most].T)
-                yield pa.record_batch([pa.array([0], pa.int64()), pa.array([own.shape[1]], pa.int32()), pa.array([ids[at : at + most].tobytes()]), pa.array([own.tobytes()])], names=["block", "n", "ids", "vectors"])
+                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([own.shape[1]], pa.int32()), pa.array([ids[at : at + most].tobytes()]), pa.array([own.tobytes()])], names=["block", "n", "ids", "vectors"])
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            held.append((ids, batch.column(1).flatten().to_numpy().reshape(len(ids), -1)))
+            n += len(ids)
+            if n >= most:
+                yield from out()
+                held, n = [], 0
+        if n:
+            yield from out()
 
-    packed = materialize(rows.mapInArrow(run, BLOCK_SCHEMA), "blocks")
-    return packed.withColumn("block", F.monotonically_increasing_id())
+    return materialize(rows.mapInArrow(run, BLOCK_SCHEMA), "blocks")
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,11 +126,10 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     right = F.size("v") == dims["d"]
     n = max(1, -(-asked.filter(right).count() // QUERY_BLOCK))
-    left = blocks(rows.filter(right), BLOCK)
-    blocks_of_queries = blocks(asked.filter(right).repartition(n), QUERY_BLOCK)
-    dealt = blocks_of_queries.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("block").alias("query_block"))
-    numbers = left.select("block").join(F.broadcast(dealt.select("query_block")))  # numbers of blocks alone: a few bytes for every 4096 rows
-    paired = numbers.join(left.select("block", "ids", "vectors"), "block").join(dealt, "query_block")
+    left = blocks(rows.filter(right), BLOCK).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    asked = blocks(asked.filter(right).repartition(n), 1 << 20)  # one block to a partition, of about QUERY_BLOCK
+    dealt = asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("block").alias("query_block"))
+    paired = left.select("block", "query_block", "ids", "vectors").join(dealt, "query_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +138,6 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "
                 q, c, score = best(one[1].reshape(-1, len(one[0])), one[0], one[3].reshape(-1, len(one[2])), one[2], k)
                 yield pa.record_batch([pa.array(one[0][q]), pa.array(one[2][c]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-    found = paired.repartition("query_block", "block").select("query_ids", "query_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = paired.repartition(F.xxhash64("ids"), "query_block").select("query_ids", "query_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
