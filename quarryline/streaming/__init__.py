@@ -1,0 +1 @@
+"""Nothing here: the engine has no streaming operators of its own; frames pass withWatermark through to Spark."""
