@@ -8,8 +8,8 @@ pseudonyms in every document and different values of one format never meet. Mail
 become keyed digests. Everything happens within a row: no shuffle, and texts of any length are rewritten whole.
 
 Defined results: null text stays null with no findings; a text without validated findings is returned as it was; repeated
-rows and ids are kept; empty tables give empty results; other columns pass through unchanged (ones named as the
-added columns raise Spark's ambiguity error only if selected by name).
+rows and ids are kept; empty tables give empty results; other columns pass through unchanged, but for one named findings,
+which is replaced.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, feistel, quality_ledger, secret_scan, sentencepiece_bpe, sharding, simhash, simple8b, vector_packing, vector_search
@@ -82,8 +82,11 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < F.lit(float("inf")), (F.lit(256.0) * x) - F.pmod(F.lit(256.0) * x, F.lit(1.0))))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", whole.alias("embedding"))
+    def whole(x: Column) -> Column:
+        scaled = x.cast("double") * 256
+        return F.when(F.abs(scaled) < 2.0**52, F.floor(scaled).cast("double")).when(F.abs(scaled) < float("inf"), scaled)  # larger doubles are whole
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", whole).alias("embedding"))
     return vector_search.top_k(rows, rows.filter("vec_id % 50 = 0"), k=5)
 
 
