@@ -8,7 +8,8 @@ cut into radius + 2 segments; fingerprints within the radius agree on at least t
 is a table whose key holds about 26 bits, and no link is missed. Within one key the fingerprints are compared in bit-sliced
 form. A key with many fingerprints is dealt into blocks of BLOCK and every pair of blocks is a separate unit of work,
 so that no task holds a whole hot key. A unit returns a spanning forest of its links, never all of its pairs, and
-components are found by alternating star contraction, with each round written to the shared folder.
+components are found by alternating star contraction, with each round written to the shared folder. `similar_documents`
+does the same with fingerprints of 256 bits, for copies whose shingle sets share less than a radius of 3 bits allows.
 
 Defined results: null or blank text has fingerprint 0 (it links like any other); fewer words than a shingle make one
 shingle of the whole sequence; repeated rows and repeated ids fall in one group; a group whose ids are all null has a
@@ -17,6 +18,7 @@ null component; empty tables give empty results; other columns of the input are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -64,10 +66,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Vertical layout: row b holds bit b of every fingerprint, 64 of them to a word."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Vertical layout: row b holds bit b of every fingerprint, 64 of them to a word. fps: n words, or n x words for wide ones."""
+    wide = fps.reshape(len(fps), -1)
+    padded = np.zeros((-(-len(wide) // 64) * 64, wide.shape[1]), np.uint64)
+    padded[: len(wide)] = wide
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
@@ -90,7 +93,7 @@ def within(differing: np.ndarray, radius: int) -> np.ndarray:
         for k in range(size):
             digits[k], carry = digits[k] ^ carry, digits[k] & carry
         over |= carry
-        if b % 8 == 7 and b < 56:
+        if b % 8 == 7 and b < rest.shape[0] - 8:
             live = over != np.uint64(0xFFFFFFFFFFFFFFFF)
             if not live.any():
                 return out.reshape(shape)
@@ -111,8 +114,9 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     vertical = planes(b)
     out = np.empty((len(a), len(b)), bool)
     for i in range(0, len(a), 64):
-        bits = (a[i : i + 64, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool).T
-        flips = np.where(bits, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+        rows = np.ascontiguousarray(a[i : i + 64].reshape(-1, vertical.shape[0] // 64))
+        bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").T
+        flips = np.where(bits > 0, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
         out[i : i + 64] = lanes(within(vertical[:, None, :] ^ flips[:, :, None], radius), len(b))
     return out
 
@@ -129,19 +133,19 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _unit_links(fps: np.ndarray, block: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the units of work in sorted arrays."""
+def _unit_links(ids: np.ndarray, fps: np.ndarray, block: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links, as pairs of ids, within the units of work in sorted arrays."""
     edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     sizes = np.diff(np.r_[edges, len(group)])
     size_of = np.repeat(sizes, sizes)
-    left, right = [], []
+    left, right = [ids[:0]], [ids[:0]]
     for s in range(1, SMALL):
         i = np.flatnonzero((group[:-s] == group[s:]) & (size_of[:-s] <= SMALL)) if s < len(group) else []
         if not len(i):
             break
         near = lanes(within(planes(fps[i] ^ fps[i + s]), radius), len(i))
-        left.append(fps[i][near])
-        right.append(fps[i + s][near])
+        left.append(ids[i][near])
+        right.append(ids[i + s][near])
     for at, n in zip(edges[sizes > SMALL], sizes[sizes > SMALL], strict=True):
         own, part = fps[at : at + n], block[at : at + n]
         low = part == part.min()
@@ -154,50 +158,59 @@ def _unit_links(fps: np.ndarray, block: np.ndarray, group: np.ndarray, radius: i
             linked[np.ix_(~low, low)] = across.T
         root = forest(linked)
         other = root != np.arange(n)
-        left.append(own[root[other]])
-        right.append(own[other])
-    return (np.concatenate(left), np.concatenate(right)) if left else (fps[:0], fps[:0])
+        left.append(ids[at : at + n][root[other]])
+        right.append(ids[at : at + n][other])
+    return np.concatenate(left), np.concatenate(right)
 
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b) with a < b: links enough to connect every component of the distinct fingerprints fp."""
-    cuts = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
-    segments = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-    masks = [np.array([x | y], np.uint64).view(np.int64)[0].item() for x, y in combinations(segments, 2)]
-    keyed = distinct.select("fp", F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        keyed.join(shared, ["t", "key"])
-        .withColumn("parts", parts)
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("fp", "block", F.xxhash64("t", "key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
-    )
+def _paired(dealt: DataFrame, radius: int) -> DataFrame:
+    """(a, b) with a < b from rows (id, fp as bytes, block, unit): links enough to connect what links within each unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def out(rows):
+        def out(rows: list[np.ndarray]) -> pa.RecordBatch:
             a, b = _unit_links(*rows, radius)
-            a, b = a.view(np.int64), b.view(np.int64)
             return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy(), batch.column(2).to_numpy()))
-            unit = held[-1][2]
+            ids, block, unit = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), -1)
+            held.append((ids, fps, block, unit))
             if unit[0] != unit[-1]:  # all units but the last are whole
                 rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = int(np.flatnonzero(rows[2] != rows[2][-1])[-1]) + 1
+                cut = int(np.flatnonzero(rows[3] != rows[3][-1])[-1]) + 1
                 held = [tuple(x[cut:] for x in rows)]
                 yield out([x[:cut] for x in rows])
         if held:
             yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    units = dealt.repartition("unit").sortWithinPartitions("unit", "block")
+    units = dealt.select("id", "fp", "block", "unit").repartition("unit").sortWithinPartitions("unit", "block")
     return units.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _deal(keyed: DataFrame) -> DataFrame:
+    """Rows (id, key) of keys that several rows hold, with block and unit: a key of many rows becomes a unit for every pair of its blocks."""
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return (
+        keyed.join(shared, "key")
+        .withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("id", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
+    )
+
+
+def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """(a, b) with a < b: links enough to connect every component of the distinct fingerprints fp."""
+    cuts = [round(64 * i / (radius + 2)) for i in range(radius + 3)]
+    segments = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    masks = [np.array([x | y], np.uint64).view(np.int64)[0].item() for x, y in combinations(segments, 2)]
+    at = F.posexplode(F.array([F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "bits")
+    keyed = distinct.select(F.col("fp").alias("id"), at).select("id", F.xxhash64("t", "bits").alias("key"))
+    return _paired(_deal(keyed).withColumn("fp", F.unhex(F.lpad(F.hex("id"), 16, "0"))), radius)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that isn't the smallest of its component; edges: (a, b), materialized.
 
@@ -230,3 +243,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         smallest = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
         label = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+# --- wide fingerprints, for copies that share less
+
+#: Words of a wide fingerprint; bits of a table's key, and how many tables there are.
+WIDE, KEY_BITS, TABLES = 4, 24, 64
+
+
+def wide_fingerprint(text: bytes | None, words: int = 5, seed: int = 42) -> bytes:
+    """A fingerprint of 64 * WIDE bits: the majority of each shingle's hash and of mixes of it."""
+    tokens = text.lower().split() if text else []
+    if not tokens:
+        return bytes(8 * WIDE)
+    joined, n = b" ".join(tokens), min(words, len(tokens))
+    ends = [e - 1 for e in accumulate(len(t) + 1 for t in tokens)]
+    starts = [0, *(e + 1 for e in ends[: len(tokens) - n])]
+    digest = xxhash.xxh64_digest
+    hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[n - 1 :], strict=True)]), ">u8").astype(np.uint64)
+    mixed = np.empty((len(hashes), WIDE), np.uint64)
+    for k in range(WIDE):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        mixed[:, k] = x ^ x >> np.uint64(31)
+    counts = np.zeros(64 * WIDE, np.int64)
+    packed = mixed.view(np.uint8)
+    for i in range(0, len(packed), 255):
+        counts += np.add.reduce(np.unpackbits(packed[i : i + 255], axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(packed)).tobytes()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) for every row with an id: groups of documents whose shingle sets have about this Jaccard similarity or more.
+
+    Fingerprints of 256 bits differ in a share of acos(2s / (1 + s)) / pi of their bits on average at similarity s; those within
+    half a standard deviation above that link. Fingerprints meet where they agree on all bits of one of TABLES fixed choices of
+    KEY_BITS bits. Both are estimates; the README has the share of pairs found at each similarity. Rows without an id take no part.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE
+    radius = math.ceil(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    choices = np.array([np.random.default_rng([seed, t]).choice(bits, KEY_BITS, replace=False) for t in range(TABLES)])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                fps = [wide_fingerprint(t, words, seed) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(KEY_BITS, dtype=np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            own = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
+            for t, choice in enumerate(choices):
+                yield pa.record_batch([pa.array(ids), pa.array(own[:, choice] @ weight + (t << KEY_BITS))], names=["id", "key"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("doc_id IS NOT NULL")
+    marked = materialize(rows.mapInArrow(mark, "doc_id long, fp binary"), "fingerprints")
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
+    dealt = _deal(distinct.select("id", "fp").mapInArrow(keys, "id long, key long")).join(distinct, "id")
+    edges = materialize(_paired(dealt, radius), "links")
+    label = distinct.withColumn("component_id", F.col("id"))
+    if not edges.isEmpty():
+        label = distinct.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("root", "id"))
+    return marked.join(label.select("fp", "component_id"), "fp").select("doc_id", "component_id")

@@ -302,6 +302,23 @@ def test_near_duplicates(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.near_duplicates(odd).count() == len(ODD)
 
 
+def test_similar_documents(spark, odd, empty):
+    rng = np.random.default_rng(9)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(40)]
+    texts = [" ".join(b) for b in base]
+    for edits in (1, 2):  # similarities of about 0.95 and 0.90
+        for b in base:
+            words = list(b)
+            for k in range(edits):
+                words[40 + 100 * k] = "edited"
+            texts.append(" ".join(words))
+    texts += [" ".join(f"v{x}" for x in rng.integers(0, 5000, 150)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert sum(got[40 + i] == got[80 + i] == i for i in range(40)) >= 38 and all(got[i] == i for i in [*range(40), *range(120, 220)])
+    assert simhash.similar_documents(empty).count() == 0 and simhash.similar_documents(odd).count() == len(ODD) - 1
+
+
 def test_hot_keys_lose_no_link(spark):
     """Far more fingerprints under one key than a block holds, in chains of single-bit steps."""
     rng = np.random.default_rng(2)
