@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .token_ids import ChunkCoder, spaced_chunks
+from .token_ids import ChunkCoder, byte_letters, spaced_chunks
 
 # Fields of the serialised model (field number, wire type) and the enumeration values used.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -39,13 +39,6 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranked[i] for i in range(len(ranked))]
 
 
-def byte_letters() -> str:
-    """One printable character for each byte: a character that prints in Latin-1 is itself, the others follow from 256 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = iter(range(256, 512))
-    return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
-
-
 def _varint(n: int) -> bytes:
     out = bytearray()
     n &= (1 << 64) - 1
@@ -91,7 +84,7 @@ class ByteBpe:
         self.letters = byte_letters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialize_model(self.tokens))
         self.find = regex.compile(pattern).findall
-        self.coder = ChunkCoder(self._encode)
+        self.coder = ChunkCoder(self._encode, lead=" ")
 
     def _encode(self, chunks: list[str]) -> Iterator[list[int]]:
         raw = [[m.encode() for m in self.find(chunk)] for chunk in chunks]

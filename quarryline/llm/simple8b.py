@@ -53,16 +53,19 @@ def pack(ids: np.ndarray) -> np.ndarray:
         while have < count and have < n:
             np.maximum(reach[: n - have], width[have:], out=reach[: n - have])
             have += 1
-        if count <= n:
-            fits = reach[: n - count + 1] <= bits
-            best[: n - count + 1][fits] = code
+        if count > n:
+            break
+        fits = np.flatnonzero(reach[: n - count + 1] <= bits)
+        if not len(fits):  # then no longer run of narrower ids fits either
+            break
+        best[fits] = code
     zero = np.flatnonzero(np.diff(np.r_[0, (ids == 0).view(np.int8), 0]))
     for lo, hi in zip(zero[::2], zero[1::2], strict=True):
         if hi - lo >= 120:
             best[lo : hi - 119] = 1
         if hi - lo >= 240:
             best[lo : hi - 239] = 0
-    steps = np.array([*(c for c, _ in SELECTORS), 1])[best].tolist()
+    steps = np.array([*(c for c, _ in SELECTORS), 1], np.uint8)[best].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)

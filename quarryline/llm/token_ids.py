@@ -1,6 +1,6 @@
 """Whole texts to token ids with the tokenizers library, each distinct chunk of a text encoded once per worker.
 
-A text is cut before every single space that stands between two characters that aren't white space. The
+A text is cut before every single space (and around every single line end) that stands between two characters that aren't white space. The
 pre-tokenizers of the vocabularies used here never let a token cross such a place, so the ids of a text are those of
 its chunks in turn; the library sees every distinct chunk whole. Chunks and ids of words seen before come from a
 memo that is emptied at MEMO entries, which bounds a worker's memory and changes no result.
@@ -8,59 +8,139 @@ memo that is emptied at MEMO entries, which bounds a worker's memory and changes
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 #: Entries after which a worker's memo starts anew.
-MEMO = 600_000
+MEMO = 500_000
 #: Chunks beyond this many characters are encoded without being kept.
 LONG = 48
 
+#: Signs that may close a word and form a pre-token of their own behind it.
+_SIGNS = ".,;:!?*$%&#|)"
 _SINGLE_SPACE = re.compile(r" (?=\S)(?<=\S )")
 
 
+def byte_letters() -> str:
+    """One printable character for each byte: a character that prints in Latin-1 is itself, the others follow from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(256, 512))
+    return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
+
+
 class ChunkCoder:
-    """encode: distinct chunks to lists of ids. A memo maps chunks to their ids as little-endian uint32 bytes."""
+    """encode: distinct chunks to lists of ids. A memo maps chunks to their ids as little-endian uint32 bytes.
+
+    The chunks of a text come without the space before them, which lead adds; the first, which has none, comes in a tuple.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
-        self.encode, self.memo = encode, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], lead: str = ""):
+        self.encode, self.lead, self.memo = encode, lead, {}
 
     def _ids(self, chunks: list[str]) -> Iterable[bytes]:
         return (array("I", ids).tobytes() for ids in self.encode(chunks))
 
-    def __call__(self, split: list[list[str]]) -> list[bytes]:
+    def __call__(self, split: list[list[str | tuple[str]]]) -> list[bytes]:
         """The ids of each text, given as its chunks."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        new = list(set().union(*split) - memo.keys())
-        memo.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(memo.__getitem__, chunks)) for chunks in split]
-        for chunk in new:
-            if len(chunk) > LONG:
-                del memo[chunk]
+        memo, get, out = self.memo, self.memo.get, []
+        for chunks in split:
+            if len(memo) > MEMO:
+                memo.clear()
+            found = list(map(get, chunks))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            if missing:
+                new = list({chunks[i] for i in missing})
+                memo.update(zip(new, self._ids([c[0] if type(c) is tuple else self.lead + c for c in new]), strict=True))
+                for i in missing:
+                    found[i] = memo[chunks[i]]
+                for chunk in new:
+                    if len(chunk) > LONG:
+                        del memo[chunk]
+            out.append(b"".join(found))
         return out
 
 
-def spaced_chunks(text: str) -> list[str]:
-    """Chunks that keep their leading space, for byte-level vocabularies."""
-    first, *rest = _SINGLE_SPACE.split(text)
-    return [first, *[" " + x for x in rest]]
+_ADJACENT = re.compile(r"\s\s")
+
+
+_LINE_END = ("\n",)
 
 
-def bare_chunks(text: str) -> list[str]:
+def spaced_chunks(text: str) -> list[str | tuple[str]]:
+    """The chunks of a text for byte-level vocabularies, where a space belongs to the word after it and a lone line end stands for itself."""
+    if _ADJACENT.search(text):
+        chunks = _SINGLE_SPACE.split(text)
+        chunks[0] = (chunks[0],)
+        return chunks
+    first, *rest = text.split("\n")
+    chunks = first.split(" ")
+    chunks[0] = (chunks[0],)
+    for line in rest:
+        start, *more = line.split(" ")
+        chunks += _LINE_END, (start,), *more
+    return chunks
+
+
+def bare_chunks(text: str) -> list[str | tuple[str]]:
     """Chunks between spaces and line ends, for vocabularies that drop white space."""
     return text.replace("\n", " ").split(" ")
 
 
+class LibraryCoder(ChunkCoder):
+    """Chunks by the tokenizers library.
+
+    A new chunk that is a Latin word with or without closing signs is a pre-token or two in both kinds of vocabulary, so the
+    library's model merges the word at once, and words are kept apart from their signs. All others go through the whole library.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.bytes = {b: c for b, c in enumerate(byte_letters())}
+        self.words: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        encode = lambda chunks: (e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)) if chunks else ()
+        super().__init__(encode, "" if self.lower else " ")
+
+    def _word(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.bytes)
+        return array("I", [t.id for t in self.merge(mapped)]).tobytes()
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        out: list[bytes | None] = []
+        if len(self.words) > MEMO:
+            self.words.clear()
+        for chunk in chunks:
+            head = chunk.rstrip(_SIGNS)
+            word = head.lower() if self.lower else head
+            bare = word[1:] if word[:1] == " " else word
+            if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0250") and len(bare) <= LONG):
+                out.append(None)
+                continue
+            ids = self.words.get(word)
+            if ids is None:
+                ids = self.words[word] = self._word(word)
+            if len(head) < len(chunk):
+                tail = chunk[len(head) :]
+                if tail not in self.signs:
+                    if len(self.signs) > MEMO:
+                        self.signs.clear()
+                    self.signs[tail] = next(super()._ids([tail]))
+                ids += self.signs[tail]
+            out.append(ids)
+        others = iter(super()._ids([c for c, ids in zip(chunks, out, strict=True) if ids is None]))
+        return [next(others) if ids is None else ids for ids in out]
+
+
+@lru_cache(maxsize=2)
 def library_coder(path: str) -> ChunkCoder:
-    """A coder over a file of the tokenizers library; strings of special tokens in a text are ordinary text."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return ChunkCoder(lambda chunks: (e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)))
+    """The coder of a worker process over a byte-level BPE file of the tokenizers library; strings of special tokens in a text are ordinary text."""
+    return LibraryCoder(path)
