@@ -9,7 +9,7 @@ is a table whose key holds about 26 bits, and no link is missed. Within one key
 form. A key with many fingerprints is dealt into blocks of BLOCK and every pair of blocks is a separate unit of work,
 so that no task holds a whole hot key. A unit returns a spanning forest of its links, never all of its pairs, and
 components are found by alternating star contraction, with each round written to the shared folder. `similar_documents`
-does the same with fingerprints of 256 bits, for copies whose shingle sets share less than a radius of 3 bits allows.
+does the same with fingerprints of 512 bits, for copies whose shingle sets share less than a radius of 3 bits allows.
 
 Defined results: null or blank text has fingerprint 0 (it links like any other); fewer words than a shingle make one
 shingle of the whole sequence; repeated rows and repeated ids fall in one group; a group whose ids are all null has a
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- wide fingerprints, for copies that share less
 
 #: Words of a wide fingerprint; bits of a table's key, and how many tables there are.
-WIDE, KEY_BITS, TABLES = 4, 24, 64
+WIDE, KEY_BITS, TABLES = 8, 22, 96
 
 
 def wide_fingerprint(text: bytes | None, words: int = 5, seed: int = 42) -> bytes:
@@ -277,13 +277,13 @@ def wide_fingerprint(text: bytes | None, words: int = 5, seed: int = 42) -> byte
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
     """(doc_id, component_id) for every row with an id: groups of documents whose shingle sets have about this Jaccard similarity or more.
 
-    Fingerprints of 256 bits differ in a share of acos(2s / (1 + s)) / pi of their bits on average at similarity s; those within
-    half a standard deviation above that link. Fingerprints meet where they agree on all bits of one of TABLES fixed choices of
+    Fingerprints of 512 bits differ in a share of acos(2s / (1 + s)) / pi of their bits on average at similarity s; those within
+    a standard deviation above that link. Fingerprints meet where they agree on all bits of one of TABLES fixed choices of
     KEY_BITS bits. Both are estimates; the README has the share of pairs found at each similarity. Rows without an id take no part.
     """
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * WIDE
-    radius = math.ceil(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    radius = math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
     choices = np.array([np.random.default_rng([seed, t]).choice(bits, KEY_BITS, replace=False) for t in range(TABLES)])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
