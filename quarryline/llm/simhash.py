@@ -185,7 +185,7 @@ def _paired(dealt: DataFrame, radius: int) -> DataFrame:
         if held:
             yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    units = dealt.select("id", "fp", "block", "unit").repartition("unit").sortWithinPartitions("unit", "block")
+    units = dealt.select("id", "fp", "block", "unit").repartition("unit").sortWithinPartitions("unit", "id")  # a forest's roots are smallest ids, so that units give the same links
     return units.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # --- wide fingerprints, for copies that share less
 
 #: Words of a wide fingerprint; bits of a table's key, and how many tables there are.
-WIDE, KEY_BITS, TABLES = 8, 22, 96
+WIDE, KEY_BITS, TABLES = 8, 24, 96
 
 
 def wide_fingerprint(text: bytes | None, words: int = 5, seed: int = 42) -> bytes:
