@@ -9,7 +9,7 @@ is a table whose key holds about 26 bits, and no link is missed. Within one key
 form. A key with many fingerprints is dealt into blocks of BLOCK and every pair of blocks is a separate unit of work,
 so that no task holds a whole hot key. A unit returns a spanning forest of its links, never all of its pairs, and
 components are found by alternating star contraction, with each round written to the shared folder. `similar_documents`
-does the same with fingerprints of 512 bits, for copies whose shingle sets share less than a radius of 3 bits allows.
+groups by the exact Jaccard similarity of shingle sets, for copies that share less than a radius of 3 bits allows.
 
 Defined results: null or blank text has fingerprint 0 (it links like any other); fewer words than a shingle make one
 shingle of the whole sequence; repeated rows and repeated ids fall in one group; a group whose ids are all null has a
@@ -18,7 +18,6 @@ null component; empty tables give empty results; other columns of the input are
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -189,15 +188,15 @@ def _paired(dealt: DataFrame, radius: int) -> DataFrame:
     return units.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
-def _deal(keyed: DataFrame) -> DataFrame:
-    """Rows (id, key) of keys that several rows hold, with block and unit: a key of many rows becomes a unit for every pair of its blocks."""
+def _deal(keyed: DataFrame, *carry: str) -> DataFrame:
+    """Rows (id, key, carry) of keys that several rows hold, with block and unit: a key of many rows becomes a unit for every pair of its blocks."""
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     return (
         keyed.join(shared, "key")
         .withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("id", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
+        .select("id", *carry, "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"))
     )
 
 
@@ -245,67 +244,153 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- wide fingerprints, for copies that share less
+# --- groups by exact Jaccard similarity, for copies that share less
 
-#: Words of a wide fingerprint; bits of a table's key, and how many tables there are.
-WIDE, KEY_BITS, TABLES = 8, 24, 96
+#: A shingle in at least COMMON of the documents of a sample, one document in SAMPLE, comes last in the order of shingles; so do at most MOST_COMMON of them.
+SAMPLE, COMMON, MOST_COMMON = 8, 8, 50_000
+#: Documents of one key, from which on they're first compared with one of them.
+STAR = 32
 
 
-def wide_fingerprint(text: bytes | None, words: int = 5, seed: int = 42) -> bytes:
-    """A fingerprint of 64 * WIDE bits: the majority of each shingle's hash and of mixes of it."""
+def shingle_set(text: bytes | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order; a blank text has that of no words."""
     tokens = text.lower().split() if text else []
-    if not tokens:
-        return bytes(8 * WIDE)
     joined, n = b" ".join(tokens), min(words, len(tokens))
     ends = [e - 1 for e in accumulate(len(t) + 1 for t in tokens)]
     starts = [0, *(e + 1 for e in ends[: len(tokens) - n])]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in zip(starts, ends[n - 1 :], strict=True)]), ">u8").astype(np.uint64)
-    mixed = np.empty((len(hashes), WIDE), np.uint64)
-    for k in range(WIDE):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-        mixed[:, k] = x ^ x >> np.uint64(31)
-    counts = np.zeros(64 * WIDE, np.int64)
-    packed = mixed.view(np.uint8)
-    for i in range(0, len(packed), 255):
-        counts += np.add.reduce(np.unpackbits(packed[i : i + 255], axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(packed)).tobytes()
+    hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[n - 1 :], strict=True)] if tokens else [digest(b"", seed)]
+    return np.unique(np.frombuffer(b"".join(hashes), ">i8").astype(np.int64))
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) for every row with an id: groups of documents whose shingle sets have about this Jaccard similarity or more.
+def _needed(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles a set must share with any set of the similarity."""
+    return np.ceil(similarity * sizes - 1e-9).astype(np.int64)
 
-    Fingerprints of 512 bits differ in a share of acos(2s / (1 + s)) / pi of their bits on average at similarity s; those within
-    a standard deviation above that link. Fingerprints meet where they agree on all bits of one of TABLES fixed choices of
-    KEY_BITS bits. Both are estimates; the README has the share of pairs found at each similarity. Rows without an id take no part.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = 64 * WIDE
-    radius = math.ceil(bits * share + math.sqrt(bits * share * (1 - share)))
-    choices = np.array([np.random.default_rng([seed, t]).choice(bits, KEY_BITS, replace=False) for t in range(TABLES)])
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common(rows: DataFrame, words: int, seed: int) -> np.ndarray:
+    """The most frequent shingles of a sample, in order; any choice of them gives the same pairs, at other costs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                fps = [wide_fingerprint(t, words, seed) for t in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+                sets = [shingle_set(t, words, seed) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["key"])
+
+    counts = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()], np.int64))
+
+
+def _candidates(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, size_a, size_b) with a < b from rows (id, size, root, block, unit): pairs within units, of different roots and sizes that allow the similarity."""
+
+    def pairs(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, block: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            may = (roots[i] != roots[j]) & (np.minimum(sizes[i], sizes[j]) >= _needed(np.maximum(sizes[i], sizes[j]), similarity))
+            i, j = i[may], j[may]
+            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+            return pa.record_batch([pa.array(x) for x in (ids[i], ids[j], sizes[i], sizes[j])], names=["a", "b", "size_a", "size_b"])
+
+        edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        counts = np.diff(np.r_[edges, len(group)])
+        count_of = np.repeat(counts, counts)
+        for s in range(1, min(SMALL, len(group))):
+            i = np.flatnonzero((group[:-s] == group[s:]) & (count_of[:-s] <= SMALL))
+            if len(i):
+                yield out(i, i + s)
+        for at, n in zip(edges[counts > SMALL], counts[counts > SMALL], strict=True):
+            low = block[at : at + n] == block[at : at + n].min()
+            if low.all():
+                i, j = np.triu_indices(n, 1)
+            else:  # two blocks: only what lies across them
+                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low)))
+            yield out(at + i, at + j)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(KEY_BITS, dtype=np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            own = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)
-            for t, choice in enumerate(choices):
-                yield pa.record_batch([pa.array(ids), pa.array(own[:, choice] @ weight + (t << KEY_BITS))], names=["id", "key"])
+            held.append([c.to_numpy() for c in batch.columns])
+            unit = held[-1][4]
+            if unit[0] != unit[-1]:  # all units but the last are whole
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.flatnonzero(rows[4] != rows[4][-1])[-1]) + 1
+                held = [[x[cut:] for x in rows]]
+                yield from pairs(*(x[:cut] for x in rows))
+        if held:
+            yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    units = dealt.select("id", "size", "root", "block", "unit").repartition("unit").sortWithinPartitions("unit", "id")
+    return units.mapInArrow(run, "a long, b long, size_a long, size_b long").filter("a <> b")
 
+
+def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
+    """The pairs (a, b) whose documents' shingle sets have the similarity; pairs: materialized, rows: (doc_id, text)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.record_batch([part.column(0), pa.array([shingle_set(t, words, seed).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                alike.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.record_batch([c.filter(pa.array(alike, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    read = materialize(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(sets, "id long, own binary"), "sets")
+    left, right = read.toDF("a", "x"), read.toDF("b", "y")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) for every row with an id: the groups that pairs of documents with this Jaccard similarity of their shingle sets, or more, connect.
+
+    Exact but for collisions of 64-bit hashes. Two such sets of sizes m and n share at least similarity * n shingles, so with the shingles of
+    all documents in one order, rare ones first, each set's first n - ceil(similarity * n) + 1 hold one that is among the other's. These
+    are the keys. Documents of a key of more than STAR are first compared with one of them, so that a large group of near copies
+    is joined by a star; then all pairs of a key that aren't joined yet are candidates, in units as in `links`. A pair whose keys in common
+    allow the similarity is verified on both whole sets. Rows without an id take no part.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("doc_id IS NOT NULL")
-    marked = materialize(rows.mapInArrow(mark, "doc_id long, fp binary"), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("id")), "distinct")
-    dealt = _deal(distinct.select("id", "fp").mapInArrow(keys, "id long, key long")).join(distinct, "id")
-    edges = materialize(_paired(dealt, radius), "links")
+    common = docs.sparkSession.sparkContext.broadcast(_common(rows, words, seed))  # at most MOST_COMMON numbers
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = common.value
+        for batch in batches:
+            for part in slices(batch, 1):
+                marks, sizes, keys = [], [], []
+                for text in part.column(1).to_pylist():
+                    own = shingle_set(text, words, seed)
+                    marks.append(xxhash.xxh128_digest(own.tobytes()))
+                    sizes.append(len(own))
+                    late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
+                    keys.append(np.concatenate([own[~late], own[late]])[: len(own) - int(_needed(np.array(len(own)), similarity)) + 1])
+                yield pa.record_batch([part.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "size", "keys"])
+
+    marked = materialize(rows.mapInArrow(mark, "doc_id long, mark binary, size long, keys array<long>"), "marks")
+    distinct = materialize(marked.groupBy("mark").agg(F.min("doc_id").alias("id")), "distinct")
+    first = marked.join(distinct, "mark").filter("doc_id = id").select("id", "size", F.explode("keys").alias("key"))
+    several = first.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("id"), F.col("id").alias("center")))["center"].alias("center")).filter("rows > 1")
+    keyed = materialize(first.join(several, "key").select("id", "size", "key", "rows", "center").distinct(), "keys")
+
+    star = materialize(keyed.filter(f"rows > {STAR} AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), "star")
+    joined = materialize(_verified(star, rows, similarity, words, seed), "joined")
+    rooted = keyed.withColumn("root", F.col("id"))
+    if not joined.isEmpty():
+        rooted = keyed.join(components(joined).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = materialize(rooted, "rooted")
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    pairs = _candidates(_deal(rooted.join(apart, "key").select("id", "size", "root", "key"), "size", "root"), similarity)
+    beyond = lambda c: F.ceil(similarity * F.col(c) - 1e-9) - 1  # noqa: E731  shingles after the keys
+    least = similarity / (1 + similarity)
+    possible = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("both")).filter(F.col("both") + F.greatest(beyond("size_a"), beyond("size_b")) >= least * (F.col("size_a") + F.col("size_b")) - 1e-9)
+    possible = materialize(possible.select("a", "b").distinct(), "possible")
+    edges = materialize(joined.unionByName(_verified(possible, rows, similarity, words, seed)), "links")
     label = distinct.withColumn("component_id", F.col("id"))
     if not edges.isEmpty():
         label = distinct.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("root", "id"))
-    return marked.join(label.select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return marked.select("doc_id", "mark").join(label.select("mark", "component_id"), "mark").select("doc_id", "component_id")

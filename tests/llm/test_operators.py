@@ -4,6 +4,7 @@ import base64
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -319,6 +320,40 @@ def test_similar_documents(spark, odd, empty):
     assert simhash.similar_documents(empty).count() == 0 and simhash.similar_documents(odd).count() == len(ODD) - 1
 
 
+def brute_similar(texts, similarity=0.8, words=5):
+    """Smallest ids of the groups that exact Jaccard similarities of distinct shingles connect."""
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in split]
+    label = list(range(len(texts)))
+    for i, j in combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9 and label[i] != label[j]:
+            lo, hi = sorted((label[i], label[j]))
+            label = [lo if x == hi else x for x in label]
+    return dict(enumerate(label))
+
+
+def test_similar_documents_are_exact(spark):
+    """Pairs on both sides of 0.8, repeated lines, and one group of more copies than a star or a block is for."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for cut in range(4, 40, 2):  # a changed end of so many of 150 words: similarities from 0.95 to 0.58
+        for _ in range(6):
+            base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+            texts += [" ".join(base), " ".join([*base[: 150 - cut], *(f"x{x}" for x in rng.integers(0, 10**6, cut))])]
+    line = [f"l{k}" for k in range(12)]
+    texts += [" ".join([*line * 20, *(f"y{x}" for x in rng.integers(0, 10**6, 30))]) for _ in range(20)]  # equal lines, little else in common
+    base = [f"g{x}" for x in rng.integers(0, 10**6, 100)]
+    for _ in range(600):
+        words = list(base)
+        words[int(rng.integers(0, 100))], words[int(rng.integers(0, 100))] = f"e{rng.integers(0, 10**6)}", f"e{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    texts += ["", " ", "short text", "Short  text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert got == brute_similar(texts)
+
+
 def test_hot_keys_lose_no_link(spark):
     """Far more fingerprints under one key than a block holds, in chains of single-bit steps."""
     rng = np.random.default_rng(2)
