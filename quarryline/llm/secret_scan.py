@@ -1,6 +1,7 @@
 r"""Secret scanning with a random forest that removes false positives.
 
-Candidates are runs of key characters, with a digit in them or after an assignment. The forest judges each by its length,
+Candidates are runs of key characters, with a digit in them, a known beginning or after an assignment, and quoted values
+without white space that are assigned to a name. The forest judges each by its length,
 how often the class of its characters changes, how much of it dictionary words cover, what form it has (path, address, digest
 in its usual place), and the words around it. It is trained by Spark's ML library on labelled findings (`labelled_findings`
 makes a set by rule; real ones can be given instead), at most MOST_LABELS of them, and then travels to the tasks as small arrays:
@@ -39,23 +40,38 @@ DICTIONARY = frozenset(
     "access account action admin after alpha array asset async author backup base before block branch build bundle cache call case change check class client cloud code color column command commit config connect content control core count create current custom data database date debug default delete design detail device direct display document domain download edit email engine entry error event export factory field file filter find first folder form format frame function general global group handler hash header help home host image import index info init input insert install interface item java json label language layout length level library license line link list load local lock main manager master media member memory menu message method mode model module monitor name network node note number object option order output owner package page panel path plugin policy post preview print process product profile project query".split()
 )
 
-#: A candidate, with what may stand directly before it.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.\-@])(?:([A-Za-z_][A-Za-z_.\-]{1,30})(?:=|:))?([A-Za-z0-9+/_\-]{8,}={0,2}(?:\.[A-Za-z0-9+/_\-]{4,}={0,2})*)(?![A-Za-z0-9@])")
+_RUN = r"[A-Za-z0-9+/_\-]{8,}={0,2}(?:\.[A-Za-z0-9+/_\-]{4,}={0,2})*"
+#: A candidate, with the name that it's assigned to: a quoted value, a run of key characters with signs inside, or after no name a run alone. The first part of an address's //user:password@ is no value.
+CANDIDATE = re.compile(
+    r"(?:(?:(?<=://)|(?<![A-Za-z0-9+/_.\-@]))((?=[0-9.\-]*+[A-Za-z_])[A-Za-z0-9_][A-Za-z0-9_.\-]*+)[\"'`]?[ \t]*+(?::=|=>|[=:])[ \t]*+[\"'`]?(?!//[^\s/@:]*+:[^\s/@]++@)|(?<![A-Za-z0-9+/_.\-@]))"
+    r"((?(1)(?:(?<=[\"'`])[^\s\"'`]{8,}+(?=[\"'`])"
+    r"|(?:" + _RUN + r"|[A-Za-z0-9+/_\-]+(?=[.!$%^*~#?&][A-Za-z0-9+/_\-.!$%^*~#?&]{6}))(?:(?:[.!$%^*~#?]|&(?![A-Za-z0-9_.\-]+=))+[A-Za-z0-9+/_\-]+={0,2})*+(?:[!$%^*~#]+(?=[\"'\s]|$))?)"
+    r"|" + _RUN + r"(?!@)))(?![A-Za-z0-9])"
+)
+_NAMED = re.compile(f"()({_RUN})")
 _WORD = re.compile(r"[A-Za-z_][\w]*")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SHAPES = (re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I), re.compile(r"\d+(?:[-.]\d+)*"), re.compile(r"[A-Za-z]+(?:[-_/.][A-Za-z0-9]{1,12})*"))
 _PREFIXES = re.compile(r"(?:AKIA|ASIA|AIza|gh[pousr]_|github_pat_|sk[-_]|pk[-_]|xox[abprs]-|glpat-|eyJ|SG\.|AGE-SECRET)")
 
-FEATURES = ("length", "transitions", "entropy", "digits", "upper", "hex", "coverage", "separators", "path", "prefix", "uuid", "number", "words", "assigned", "quoted", "secret_before", "harmless_before", "placeholder", "secret_after", "colon")
+FEATURES = ("length", "transitions", "entropy", "digits", "upper", "hex", "coverage", "separators", "path", "prefix", "uuid", "number", "words", "assigned", "quoted", "secret_before", "harmless_before", "placeholder", "secret_after", "colon", "label")
 
 
 def candidates(text: str) -> Iterator[re.Match]:
-    """Runs of key characters that hold a digit or follow a name and a sign of assignment."""
+    """Runs of key characters that hold a digit or begin as known keys do, and values that are assigned to a name; a name can be such a run itself."""
     for m in CANDIDATE.finditer(text):
-        if m[1] or any(c.isdigit() for c in m[2]):
+        if m[1]:
+            name = _NAMED.match(text, *m.span(1))
+            if name and name.end() == m.end(1) and _telling(name[2]):
+                yield name
+        if len(m[2]) >= 8 and (m[1] or _telling(m[2])):
             yield m
 
 
+def _telling(run: str) -> bool:
+    return any(c.isdigit() for c in run) or bool(_PREFIXES.match(run))
+
+
 def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
@@ -68,7 +84,8 @@ def features(text: str, m: re.Match) -> list[float]:
     covered = sum(len(p) for p in _PARTS.findall(own) if p.lower() in DICTIONARY)
     before, after = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 30]
     near = [w.lower() for w in _WORD.findall(before)[-2:]]
-    sign = before.rstrip("\"' ")[-1:]
+    ahead = text[max(0, m.start(2) - 8) : m.start(2)]
+    sign = ahead.rstrip("\"'`> \t")[-1:]
     assigned = bool(m[1]) or sign in ("=", ":")
     named = {name, *(near[-1:] if assigned else near)} - {""}
     named |= {p for w in named for p in re.split(r"[_.\-]", w)}
@@ -85,12 +102,13 @@ def features(text: str, m: re.Match) -> list[float]:
         float(bool(_PREFIXES.match(own))),
         *(float(bool(s.fullmatch(own))) for s in _SHAPES),
         float(assigned),
-        float(before[-1:] in ("\"", "'") or after[:1] in ("\"", "'")),
+        float(ahead[-1:] in ("\"", "'", "`") or after[:1] in ("\"", "'", "`")),
         float(bool(named & SECRET_WORDS)),
         float(bool(named & HARMLESS_WORDS)),
         float(any(p in own.lower() for p in PLACEHOLDERS) or len(set(own)) < 4),
         float(bool({w.lower() for w in _WORD.findall(after)[:2]} & SECRET_WORDS)),
         float(sign == ":"),
+        float(bool(set(re.split(r"[_.\-]", own.lower())) & SECRET_WORDS and after.lstrip("\"'` \t")[:1] in ("=", ":"))),
     ]
 
 
@@ -105,6 +123,8 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
     quote = lambda s: (q := rng.choice(('"', "'", ""))) + s + q
     sign = lambda: rng.choice((" = ", "=", ": ", ":", " := "))
     key = lambda: rng.choice((pick(hexa, 16, 64), pick(alnum, 12, 64), pick(alnum + "+/", 24, 64), pick(upper, 16, 40), pick(alnum + "_-", 16, 48)))
+    quoted = lambda s: (q := rng.choice(('"', "'"))) + s + q
+    name = lambda: rng.choice((f"{rng.choice(('S3', 'db2', 'K8'))}_{rng.choice(secret)}", f"{rng.choice(secret)}_{rng.randint(1, 9)}", f"S3_{rng.choice(secret)}".upper(), f"MY_{'_'.join(rng.sample(words, 4))}_{rng.choice(secret)}".upper()))
     uuid = lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12))
     secrets = (
         lambda: f"{rng.choice(secret)}{sign()}{quote(key())}",
@@ -113,6 +133,12 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
         lambda: f"{rng.choice(('ghp_', 'gho_', 'glpat-', 'sk-', 'sk_live_', 'xoxb-', 'AIza'))}{pick(alnum, 20, 40)}",
         lambda: f"Authorization: Bearer {pick(alnum, 24, 60)}",
         lambda: f"{rng.choice(secret)}{sign()}{quote(uuid())}",
+        lambda: f"{name()}{sign()}{quote(key())}",
+        lambda: f"{rng.choice((name(), rng.choice(secret)))}{sign()}{quoted(rng.choice((pick(alnum[:52], 12, 40), pick(lower, 12, 28), pick(lower, 4, 9) + rng.choice('&!$#%@') + pick(alnum, 6, 20))))}",
+        lambda: f"{rng.choice(secret)}{sign()}{pick(alnum[:52], 16, 40)}",
+        lambda: f'{{"{rng.choice((name(), rng.choice(secret)))}":{rng.choice(("", " "))}"{rng.choice((key(), pick(alnum[:52], 12, 40)))}"}}',
+        lambda: f"{rng.choice(('AKIA', 'ASIA'))}{pick(alnum[:26], 16)}",
+        lambda: f"{rng.choice(('https', 'postgres', 'ftp'))}://{pick(lower, 3, 7)}:{rng.choice((key(), pick(alnum[:52], 12, 30), 'ghp_' + pick(alnum, 30, 36)))}@{rng.choice(words)}.com",
     )
     others = (
         lambda: f"{rng.choice(harmless)}{rng.choice((' ', ': ', '=', ' = '))}{quote(rng.choice((pick(hexa, 32), pick(hexa, 40), pick(hexa, 64), uuid())))}",
@@ -126,6 +152,13 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
         lambda: f"{rng.choice(secret)}{sign()}{quote(rng.choice('x0*1a') * 12 + '1')}",
         lambda: f"{rng.choice(words)}={rng.choice(words)}{rng.randint(1000, 99999)}",
         lambda: pick(lower, 9, 18) + str(rng.randint(0, 9)),
+        lambda: f"{rng.choice(words)}{sign()}{quote(rng.choice((pick(lower, 8, 14), '-'.join(rng.sample(words, 2)), '_'.join(rng.sample(words, 3)), ''.join(w.title() for w in rng.sample(words, 3)))))}",
+        lambda: f"{rng.choice(secret)}{sign()}{rng.choice(('_'.join(rng.sample(words, 2)), '.'.join(rng.sample(words, 2)), ''.join(w.title() for w in rng.sample(words, 2)), pick(lower, 8, 11)))}",
+        lambda: f"{name()}{rng.choice((' = ', '=', ': ', ':'))}{pick(lower, 2, 6)}",
+        lambda: f"{name()}{rng.choice((' = ', '=', ': ', ':'))}{pick(lower, 2, 6)}",
+        lambda: f"{rng.choice(words).upper()}{rng.randint(1, 99)}_{rng.choice(secret).upper()}{rng.choice((' = ', '=', ': ', ':'))}{pick(lower, 2, 6)}",
+        lambda: f"{pick(lower, 3, 9)}: {pick(lower, 8, 14)}",
+        lambda: f"https://{rng.choice(words)}.com/{rng.choice(words)}/{rng.choice(words)}{rng.choice(('', str(rng.randint(0, 99))))}",
         lambda: f"data:image base64 {pick(alnum + '+/', 60, 200)}",
     )
     rows = []
