@@ -9,7 +9,7 @@ is a table whose key holds about 26 bits, and no link is missed. Within one key
 form. A key with many fingerprints is dealt into blocks of BLOCK and every pair of blocks is a separate unit of work,
 so that no task holds a whole hot key. A unit returns a spanning forest of its links, never all of its pairs, and
 components are found by alternating star contraction, with each round written to the shared folder. `similar_documents`
-groups by the exact Jaccard similarity of shingle sets, for copies that share less than a radius of 3 bits allows.
+groups copies that share less than a radius of 3 bits allows: candidates by wider fingerprints, verified by the Jaccard similarity of shingle sets.
 
 Defined results: null or blank text has fingerprint 0 (it links like any other); fewer words than a shingle make one
 shingle of the whole sequence; repeated rows and repeated ids fall in one group; a group whose ids are all null has a
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import Scratch, materialize, slices
 
 #: Fingerprints in one block of a hot key.
 BLOCK = 512
@@ -216,14 +216,15 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star contraction: each round hangs neighbours on the smallest one known, so the
     number of rounds grows with the logarithm of the longest path.
     """
-    mark = None
+    mark, scratch, k = None, Scratch(edges.sparkSession, "components"), 0
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = materialize(small, "components")
+        edges, k = scratch.table(small, str(k + 1)), k + 1
+        scratch.drop(str(k - 1))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -244,12 +245,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-# --- groups by exact Jaccard similarity, for copies that share less
+# --- groups by Jaccard similarity, for copies that share less: wide fingerprints compared in slices, pairs verified on whole sets
 
-#: A shingle in at least COMMON of the documents of a sample, one document in SAMPLE, comes last in the order of shingles; so do at most MOST_COMMON of them.
-SAMPLE, COMMON, MOST_COMMON = 8, 8, 50_000
-#: Documents of one key, from which on they're first compared with one of them.
-STAR = 32
+#: Words of 64 bits in a wide fingerprint, and the odd numbers that make as many hashes from one.
+WIDE = 4
+_MIX = np.arange(1, 2 * WIDE, 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: The shares of wide fingerprints' radius: standard deviations above what pairs at the threshold differ by. Sets of fewer than FEW shingles are judged more loosely.
+DEVIATIONS, FEW = 6, 50
+#: A pair at the threshold is without a common key with a probability below e to the power of -CERTAIN (1e-8).
+CERTAIN = 18.4
+#: Of one document in SAMPLE, the FIRST lowest shingles are counted; what COMMON of them hold comes last in the order of shingles, but at most MOST_COMMON.
+SAMPLE, FIRST, COMMON, MOST_COMMON = 16, 64, 8, 50_000
+#: Nodes of one key, from which on they're first compared with one of them; nodes in one block of a hot key; shingles in one block of verified sets.
+STAR, WIDE_BLOCK, SET_BLOCK = 32, 1024, 1 << 18
+#: Keys of a unit by which pairs that meet under several keys are told apart at most; the others come twice and are merged later.
+TOLD = 2048
 
 
 def shingle_set(text: bytes | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -263,134 +273,303 @@ def shingle_set(text: bytes | None, words: int = 5, seed: int = 42) -> np.ndarra
     return np.unique(np.frombuffer(b"".join(hashes), ">i8").astype(np.int64))
 
 
+def wide_fingerprint(own: np.ndarray) -> bytes:
+    """The bitwise majority over a shingle set, WIDE words long."""
+    x = own.view(np.uint64)[:, None] * _MIX
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    counts = np.zeros(64 * WIDE, np.int64)
+    for i in range(0, len(x), 255):  # sums of at most 255 bits stay in bytes
+        counts += np.add.reduce(np.unpackbits(x[i : i + 255].view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(own)).tobytes()
+
+
+def wide_radius(similarity: float, few: bool = False, deviations: float = DEVIATIONS) -> int:
+    """Bits in which pairs of sets of the similarity differ at most; of few shingles the share is larger than the angle between the sets."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi * (1.3 if few else 1)
+    bits = 64 * WIDE
+    return min(bits, int(np.ceil(bits * share + deviations * np.sqrt(bits * share * (1 - share)))))
+
+
 def _needed(sizes: np.ndarray, similarity: float) -> np.ndarray:
     """How many shingles a set must share with any set of the similarity."""
     return np.ceil(similarity * sizes - 1e-9).astype(np.int64)
 
 
+def set_keys(own: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles under which a set looks for sets of the similarity.
+
+    In any order of all shingles, the first that two such sets share is among the first keys of each unless all keys of one are unshared.
+    At most 1 - similarity of a set is unshared, so n - needed + 1 keys are always enough, and in the random order of hashes a few are with CERTAIN.
+    Shingles of many documents (last) come last, which leaves (1 - similarity) / rare as the share of the others that may be unshared, so
+    that the fewer others there are the more keys it takes; sets that mostly hold such shingles use the plain order, those between use both.
+    """
+    n, off = len(own), 1 - similarity
+    enough = n - int(_needed(np.array(n), similarity)) + 1
+    late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(n, bool)
+    rare = 1 - late.mean()
+    keys = []
+    if rare >= 1.5 * off:
+        many = int(np.ceil(CERTAIN / np.log(rare / off))) if off else 1
+        keys.append(own[~late][: min(enough, many)])
+    if rare < 1.5 * off / similarity + off:
+        keys.append(own[: min(enough, int(np.ceil(CERTAIN / -np.log(off))) if off else 1)])
+    return np.unique(np.concatenate(keys))
+
+
 def _common(rows: DataFrame, words: int, seed: int) -> np.ndarray:
-    """The most frequent shingles of a sample, in order; any choice of them gives the same pairs, at other costs."""
+    """Frequent low shingles of a sample, in order; any choice of them gives the same pairs, at other costs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                sets = [shingle_set(t, words, seed) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, words, seed)[:FIRST] for t in part.column(1).to_pylist()]
                 yield pa.record_batch([pa.array(np.concatenate([*sets, np.zeros(0, np.int64)]))], names=["key"])
 
-    counts = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    counts = rows.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()], np.int64))
 
 
-def _candidates(dealt: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, size_a, size_b) with a < b from rows (id, size, root, block, unit): pairs within units, of different roots and sizes that allow the similarity."""
+def _deal_roots(keyed: DataFrame) -> DataFrame:
+    """Rows (id, size, root, fp, key, keys, place) of keys that hold several roots, with block and unit as in _deal; rows of a large key's most frequent root meet only the others."""
+    roots = keyed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    shared = roots.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).filter("roots > 1")
+    parts = lambda n: F.ceil(F.col(n) / WIDE_BLOCK).cast("int")
+    placed = keyed.join(shared, "key").withColumn("small", F.col("n") <= WIDE_BLOCK).withColumn("most", F.when(F.col("small"), F.lit(0)).otherwise(F.col("main.n")))
+    placed = placed.withColumn("rest", F.col("n") - F.col("most")).withColumn("mine", ~F.col("small") & (F.col("root") == F.col("main.root")))
+    spread = lambda n: F.pmod(F.xxhash64("id"), parts(n)).cast("int")
+    return (
+        placed.withColumn("block", F.when(F.col("mine"), parts("rest") + spread("most")).otherwise(spread("rest")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("mine"), parts("rest")).otherwise(parts("rest") + parts("most")) - 1)))
+        .select("id", "size", "root", "fp", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "key", "keys", "place")
+    )
 
-    def pairs(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, block: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        def out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            may = (roots[i] != roots[j]) & (np.minimum(sizes[i], sizes[j]) >= _needed(np.maximum(sizes[i], sizes[j]), similarity))
-            i, j = i[may], j[may]
-            i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
-            return pa.record_batch([pa.array(x) for x in (ids[i], ids[j], sizes[i], sizes[j])], names=["a", "b", "size_a", "size_b"])
+
+def _asked(ids: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Rows (unit, node, partners) for pairs of indices: a pair's unit follows from the places of both, and each node of a unit has a row, if only an empty one."""
+    lo, hi = (f(place[i], place[j]).view(np.uint64) for f in (np.minimum, np.maximum))
+    unit = (lo * np.uint64(0x9E3779B97F4A7C15) ^ hi).view(np.int64)
+    order = np.lexsort((j, i, unit))
+    unit, i, j = unit[order], i[order], j[order]
+    starts = np.flatnonzero(np.r_[True, (unit[1:] != unit[:-1]) | (i[1:] != i[:-1])]) if len(i) else np.zeros(0, np.int64)
+    others = np.unique(np.stack([unit, ids[j]]), axis=1)
+    ends = np.r_[starts, np.full(others.shape[1] + 1, len(i))].astype(np.int32)
+    columns = [pa.array(np.r_[unit[starts], others[0]]), pa.array(np.r_[ids[i[starts]], others[1]]), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[j]))]
+    return pa.record_batch(columns, names=["unit", "node", "partners"])
+
+
+def _met_before(key: int, keys: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Boolean matrix: which rows of low and high share a key below this one, by TOLD of the keys at most."""
+    own = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    flat = np.concatenate(keys)
+    own, flat = own[flat < key], flat[flat < key]
+    names, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    frequent = np.argsort(-count, kind="stable")[:TOLD]
+    column = np.full(len(names), -1)
+    column[frequent[count[frequent] > 1]] = np.arange((count[frequent] > 1).sum())
+    held = np.zeros((len(keys), max(1, int(column.max(initial=-1)) + 1)), np.float32)
+    told = column[code] >= 0
+    held[own[told], column[code[told]]] = 1
+    return held[low] @ held[high].T > 0
+
+
+def _candidates(dealt: DataFrame, similarity: float, likely: bool = False) -> DataFrame:
+    """(unit, node, partners) as _asked makes them: pairs of different roots, whose sizes allow the similarity and whose fingerprints are within its radius.
+
+    likely: only pairs as close as those at the threshold are on average, and in a larger unit one such pair for each of its nodes.
+    """
+    radii = [wide_radius(similarity, few, 0 if likely else DEVIATIONS) for few in (False, True)]
+
+    def pairs(ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, fps: np.ndarray, block: np.ndarray, group: np.ndarray, key: np.ndarray, keys: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def may(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            fit = (roots[i] != roots[j]) & (np.minimum(sizes[i], sizes[j]) >= _needed(np.maximum(sizes[i], sizes[j]), similarity))
+            return i[fit], j[fit]
 
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         counts = np.diff(np.r_[edges, len(group)])
         count_of = np.repeat(counts, counts)
+        few = sizes < FEW
         for s in range(1, min(SMALL, len(group))):
             i = np.flatnonzero((group[:-s] == group[s:]) & (count_of[:-s] <= SMALL))
-            if len(i):
-                yield out(i, i + s)
+            for loose in (False, True):
+                at, to = may(*(x[(few[i] | few[i + s]) == loose] for x in (i, i + s)))
+                if len(at):
+                    near = lanes(within(planes(fps[at] ^ fps[to]), radii[loose]), len(at))
+                    yield _asked(ids, place, at[near], to[near])
         for at, n in zip(edges[counts > SMALL], counts[counts > SMALL], strict=True):
-            low = block[at : at + n] == block[at : at + n].min()
-            if low.all():
-                i, j = np.triu_indices(n, 1)
-            else:  # two blocks: only what lies across them
-                i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(low), np.flatnonzero(~low)))
-            yield out(at + i, at + j)
+            rows = np.arange(at, at + n)
+            low = high = rows
+            if (other := block[rows] != block[rows].min()).any():  # two blocks: only what lies across them
+                low, high = rows[~other], rows[other]
+            near = close_pairs(fps[low], fps[high], radii[bool(few[rows].any())])
+            if low is high:
+                near = np.triu(near, 1)
+            if not likely:
+                near &= ~_met_before(key[at], list(keys[rows]), low - at, high - at)
+            i, j = may(*(x[k] for x, k in zip((low, high), np.nonzero(near), strict=True)))
+            if likely:
+                one = np.unique(np.r_[np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]])
+                i, j = i[one], j[one]
+            yield _asked(ids, place, i, j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            unit = held[-1][4]
+            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WIDE)
+            lists = np.empty(batch.num_rows, object)
+            lists[:] = np.split(batch.column(7).flatten().to_numpy(), np.cumsum(batch.column(7).value_lengths().to_numpy())[:-1])
+            held.append([{3: fps, 7: lists}.get(k, c.to_numpy(zero_copy_only=False)) for k, c in enumerate(batch.columns)])
+            unit = held[-1][5]
             if unit[0] != unit[-1]:  # all units but the last are whole
                 rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-                cut = int(np.flatnonzero(rows[4] != rows[4][-1])[-1]) + 1
+                cut = int(np.flatnonzero(rows[5] != rows[5][-1])[-1]) + 1
                 held = [[x[cut:] for x in rows]]
                 yield from pairs(*(x[:cut] for x in rows))
         if held:
             yield from pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    units = dealt.select("id", "size", "root", "block", "unit").repartition("unit").sortWithinPartitions("unit", "id")
-    return units.mapInArrow(run, "a long, b long, size_a long, size_b long").filter("a <> b")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """The pairs (a, b) whose documents' shingle sets have the similarity; pairs: materialized, rows: (doc_id, text)."""
+    units = dealt.repartition("unit").sortWithinPartitions("unit", "id")
+    return units.mapInArrow(run, "unit long, node long, partners array<long>")
+
+
+def _similar(nodes: list[int], partners: list[list[int]], sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """The pairs of one unit that have the similarity, by counts of the shingles in common."""
+    index, sizes = {x: i for i, x in enumerate(nodes)}, np.array([len(x) for x in sets])
+    names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    flags = np.zeros(len(names), np.int64)
+    for i, asked in enumerate(partners):
+        if not asked:
+            continue
+        js = np.array([index[x] for x in dict.fromkeys(asked)])
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        flags[own] = 1
+        if 8 * len(js) > len(nodes):
+            both = np.add.reduceat(flags[codes], starts)[js]
+        else:
+            both = np.array([flags[codes[starts[j] : starts[j] + sizes[j]]].sum() for j in js])
+        flags[own] = 0
+        alike = both >= similarity * (sizes[i] + sizes[js] - both) - 1e-9
+        yield from ((nodes[i], nodes[j]) for j in js[alike])
+
+
+def _distance(x: str, y: str) -> str:
+    """Differing bits of two wide fingerprints, in SQL."""
+    word = lambda c, k: f"conv(hex(substring({c}, {8 * k + 1}, 8)), 16, -10)"
+    return " + ".join(f"bit_count(cast({word(x, k)} as bigint) ^ cast({word(y, k)} as bigint))" for k in range(WIDE))
+
+
+def _verified(asked: DataFrame, first: DataFrame, rows: DataFrame, similarity: float, words: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b), a < b, whose shingle sets have the similarity. asked: (unit, node, partners), first: (node, doc_id), rows: (doc_id, text).
+
+    A set travels once to each unit that asks for it, however many pairs it has there.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.record_batch([part.column(0), pa.array([shingle_set(t, words, seed).tobytes() for t in part.column(1).to_pylist()], pa.binary())], names=["id", "own"])
+                own = [shingle_set(t, words, seed) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([pa.array([_node(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "own"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, ([], [], [])
+
+        def out() -> pa.RecordBatch:
+            found = np.array(list(_similar(*held, similarity)), np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(found.min(axis=1)), pa.array(found.max(axis=1))], names=["a", "b"])
+
         for batch in batches:
-            alike = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.record_batch([c.filter(pa.array(alike, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+            for own, node, partners, shingles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if own != unit and held[0]:
+                    yield out()
+                    held = ([], [], [])
+                unit = own
+                for x, one in zip(held, (node, partners.as_py(), np.frombuffer(shingles.as_buffer(), np.int64)), strict=True):
+                    x.append(one)
+        if held[0]:
+            yield out()
+
+    asked = scratch.table(asked.groupBy("unit", "node").agg(F.flatten(F.collect_list("partners")).alias("partners")), f"{name}-asked")
+    nodes = asked.select("node").distinct()
+    ids = first.join(nodes, "node", "left_semi").select("doc_id").distinct()
+    own = rows.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "node long, own binary")
+    own = scratch.table(own.join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")  # rows of one id may hold several texts
+    units = asked.join(own, "node").select("unit", "node", "partners", "own").repartition("unit").sortWithinPartitions("unit")
+    found = scratch.table(units.mapInArrow(run, "a long, b long").distinct(), name)
+    scratch.drop(f"{name}-asked", f"{name}-sets")
+    return found
+
+
+def _rooted(keyed: DataFrame, play: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (id, key) with what units need of each node, and its root under the links found so far."""
+    rooted = play.withColumn("root", F.col("id"))
+    if not edges.isEmpty():
+        rooted = play.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return keyed.select("id", "key").join(rooted, "id")
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    read = materialize(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).mapInArrow(sets, "id long, own binary"), "sets")
-    left, right = read.toDF("a", "x"), read.toDF("b", "y")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+
+def _node(own: np.ndarray) -> int:
+    """The hash that stands for a whole shingle set."""
+    return int.from_bytes(xxhash.xxh64_digest(own.tobytes()), "big", signed=True)
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text", seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) for every row with an id: the groups that pairs of documents with this Jaccard similarity of their shingle sets, or more, connect.
+    """(doc_id, text_id, component_id, first) for every row with an id: the groups that pairs of texts with this Jaccard similarity of their shingle sets, or more, connect.
 
-    Exact but for collisions of 64-bit hashes. Two such sets of sizes m and n share at least similarity * n shingles, so with the shingles of
-    all documents in one order, rare ones first, each set's first n - ceil(similarity * n) + 1 hold one that is among the other's. These
-    are the keys. Documents of a key of more than STAR are first compared with one of them, so that a large group of near copies
-    is joined by a star; then all pairs of a key that aren't joined yet are candidates, in units as in `links`. A pair whose keys in common
-    allow the similarity is verified on both whole sets. Rows without an id take no part.
+    Texts with equal sets are one node. Nodes that share a key (set_keys) meet in units as in `links`, where their wide fingerprints are compared bit by bit
+    in slices; what is within the radius for the similarity is verified on both whole sets, so no link is below it, and one is missed with a probability
+    of about 1e-8. Three rounds keep large groups of near copies from being compared pair by pair: the nodes of a key of more than STAR with one of them, then
+    each node with one that is likely close enough, then all pairs that aren't joined yet. text_id is Spark's xxhash64 of the text; first marks the row (or, if it repeats, rows) of the smallest
+    (doc_id, text_id) of a group, component_id is its doc_id. Rows of one id and unlike texts are apart. Rows without an id take no part.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).filter("doc_id IS NOT NULL")
-    common = docs.sparkSession.sparkContext.broadcast(_common(rows, words, seed))  # at most MOST_COMMON numbers
+    spark = docs.sparkSession
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text.cast("string")).alias("text_id")).filter("doc_id IS NOT NULL")
+    common = spark.sparkContext.broadcast(_common(rows, words, seed))  # at most MOST_COMMON numbers
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
             for part in slices(batch, 1):
-                marks, sizes, keys = [], [], []
+                found = []
                 for text in part.column(1).to_pylist():
                     own = shingle_set(text, words, seed)
-                    marks.append(xxhash.xxh128_digest(own.tobytes()))
-                    sizes.append(len(own))
-                    late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own if len(last) else np.zeros(len(own), bool)
-                    keys.append(np.concatenate([own[~late], own[late]])[: len(own) - int(_needed(np.array(len(own)), similarity)) + 1])
-                yield pa.record_batch([part.column(0), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "mark", "size", "keys"])
-
-    marked = materialize(rows.mapInArrow(mark, "doc_id long, mark binary, size long, keys array<long>"), "marks")
-    distinct = materialize(marked.groupBy("mark").agg(F.min("doc_id").alias("id")), "distinct")
-    first = marked.join(distinct, "mark").filter("doc_id = id").select("id", "size", F.explode("keys").alias("key"))
-    several = first.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("id"), F.col("id").alias("center")))["center"].alias("center")).filter("rows > 1")
-    keyed = materialize(first.join(several, "key").select("id", "size", "key", "rows", "center").distinct(), "keys")
-
-    star = materialize(keyed.filter(f"rows > {STAR} AND id <> center").select(F.least("id", "center").alias("a"), F.greatest("id", "center").alias("b")).distinct(), "star")
-    joined = materialize(_verified(star, rows, similarity, words, seed), "joined")
-    rooted = keyed.withColumn("root", F.col("id"))
-    if not joined.isEmpty():
-        rooted = keyed.join(components(joined).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = materialize(rooted, "rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    pairs = _candidates(_deal(rooted.join(apart, "key").select("id", "size", "root", "key"), "size", "root"), similarity)
-    beyond = lambda c: F.ceil(similarity * F.col(c) - 1e-9) - 1  # noqa: E731  shingles after the keys
-    least = similarity / (1 + similarity)
-    possible = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("both")).filter(F.col("both") + F.greatest(beyond("size_a"), beyond("size_b")) >= least * (F.col("size_a") + F.col("size_b")) - 1e-9)
-    possible = materialize(possible.select("a", "b").distinct(), "possible")
-    edges = materialize(joined.unionByName(_verified(possible, rows, similarity, words, seed)), "links")
-    label = distinct.withColumn("component_id", F.col("id"))
-    if not edges.isEmpty():
-        label = distinct.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("root", "id"))
-    return marked.select("doc_id", "mark").join(label.select("mark", "component_id"), "mark").select("doc_id", "component_id")
+                    found.append((_node(own), len(own), wide_fingerprint(own), set_keys(own, common.value, similarity)))
+                columns = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)]
+                yield pa.record_batch([part.column(0), part.column(2), *columns], names=["doc_id", "text_id", "node", "size", "fp", "keys"])
+
+    with Scratch(spark, "similar") as scratch:
+        marked = scratch.table(rows.mapInArrow(mark, "doc_id long, text_id long, node long, size long, fp binary, keys array<long>"), "marks")
+        nodes = scratch.table(marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_id")).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+        first = nodes.select("node", "least.doc_id")
+        each = nodes.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
+        several = each.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("center")).filter("rows > 1")
+        keyed = scratch.table(each.join(several, "key").select("id", "key", "rows", "center"), "keys")
+        found = keyed.groupBy("id").agg(F.collect_list("key").alias("keys"), F.max(F.struct("rows", "key"))["key"].alias("home")).join(nodes.select(F.col("node").alias("id"), "size", "fp"), "id")
+        homes = found.groupBy("home").agg(F.ceil(F.sum("size") / SET_BLOCK).alias("parts"))  # nodes of one hottest key are verified together
+        play = scratch.table(found.join(homes, "home").select("id", "size", "fp", "keys", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("place")), "play")
+
+        hot = keyed.filter(f"rows > {STAR} AND id <> center").groupBy("id", "center").agg(F.max("rows").alias("rows")).join(play.select("id", "fp"), "id")
+        hot = hot.join(play.select(F.col("id").alias("center"), F.col("fp").alias("other")), "center").filter(f"{_distance('fp', 'other')} <= {wide_radius(similarity, True)}")
+        star = hot.select(F.xxhash64("center", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / BLOCK))).alias("unit"), "id", "center")
+        none = F.array().cast("array<long>")
+        star = star.select("unit", F.col("id").alias("node"), F.array("center").alias("partners")).unionByName(star.select("unit", F.col("center").alias("node"), none.alias("partners")).distinct())
+        verify = lambda asked, name: _verified(asked, first, rows, similarity, words, seed, scratch, name)
+
+        edges = verify(star, "links-1")
+        rooted = scratch.table(_rooted(keyed, play, edges), "rooted-1")
+        edges = edges.unionByName(verify(_candidates(_deal_roots(rooted), similarity, likely=True), "links-2"))
+        scratch.drop("rooted-1")
+        rooted = scratch.table(_rooted(keyed, play, edges), "rooted-2")
+        scratch.drop("keys", "play")
+        edges = edges.unionByName(verify(_candidates(_deal_roots(rooted), similarity), "links-3"))
+        scratch.drop("rooted-2")
+        label = nodes.select("node", F.col("node").alias("root"), "least")
+        if not edges.isEmpty():
+            label = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        smallest = label.groupBy("root").agg(F.min("least").alias("of"))
+        named = label.join(smallest, "root").select("node", "of")
+        out = marked.select("doc_id", "text_id", "node").join(named, "node")
+        same = (F.col("doc_id") == F.col("of.doc_id")) & (F.col("text_id") == F.col("of.text_id"))
+        return materialize(out.select("doc_id", "text_id", F.col("of.doc_id").alias("component_id"), same.alias("first")), "groups")
