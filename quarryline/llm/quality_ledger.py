@@ -2,7 +2,7 @@
 
 `ledger` measures every text once, evaluates every rule once, and stores the measurements with one bit for each failed
 rule. Policies are versioned masks over those bits: applying one, or asking what each of its rules removes alone, reads
-the ledger and never the texts. Everything about a text stays within its row, so nothing is shuffled before the few
+the ledger and never the texts. Windows of words are compared by 64-bit hashes. Everything about a text stays within its row, so nothing is shuffled before the few
 counts of `ablations`, which are pre-aggregated by their bits.
 
 Defined results: null or blank text measures zero everywhere and fails too_few_words; texts of any length are measured
@@ -120,6 +120,12 @@ def kept(policy: str, **how) -> Column:
     return F.col("failures").bitwiseAND(F.lit(mask(policy, **how))) == 0
 
 
+def only_rule(policy: str, rules: tuple[Rule, ...] = RULES, policies: dict[str, tuple[str, ...]] = POLICIES) -> Column:
+    """The rule without which the policy would keep a ledger row that it rejects; null if there is none or the row is kept."""
+    bits = F.col("failures").bitwiseAND(F.lit(mask(policy, rules, policies)))
+    return F.coalesce(*(F.when(bits == 1 << i, r.name) for i, r in enumerate(rules) if r.name in policies[policy]))
+
+
 def ablations(book: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES, policies: dict[str, tuple[str, ...]] = POLICIES) -> DataFrame:
     """(rule, failed, failed_alone): how many rows each rule of a policy rejects, and how many only it does, which is what dropping it would bring back."""
     whole = mask(policy, rules, policies)
