@@ -3,42 +3,54 @@ r"""Secret scanning with a random forest that removes false positives.
 Candidates are runs of key characters, with a digit in them, a known beginning or after an assignment, and quoted values
 without white space that are assigned to a name. The forest judges each by its length,
 how often the class of its characters changes, how much of it dictionary words cover, what form it has (path, address, digest
-in its usual place), and the words around it. It is trained by Spark's ML library on labelled findings (`labelled_findings`
-makes a set by rule; real ones can be given instead), at most MOST_LABELS of them, and then travels to the tasks as small arrays:
-scanning a text stays within its row, so nothing is shuffled.
+in its usual place), and the words around it. The dictionary is the words of a public tokenizer's vocabulary. The forest is trained by
+Spark's ML library on labelled findings (`labelled_findings` makes a set by rule; real ones can be given instead), at most MOST_LABELS
+of them, and then travels to the tasks as small arrays that give the model's own probabilities: scanning a text stays within its row, so
+nothing is shuffled, and all candidates of a slice of rows are judged at once.
 
 Defined results: null text stays null and has no findings; a text without findings is returned as it was; texts of
-any length are scanned whole; repeated rows and ids are kept; empty tables give empty results; other columns pass
-through, but for earlier ones named n_candidates and n_secrets, which are replaced.
+any length are scanned whole; repeated rows and ids are kept; equal texts are masked alike; a score at the threshold is a secret; empty tables
+give empty results; other columns pass through, but for earlier ones named n_candidates and n_secrets, which are replaced.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Scratch, slices
 
 #: Labelled findings that training takes at most, a bound on what reaches the driver.
 MOST_LABELS = 20_000
+#: The vocabulary whose words are the dictionary.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Put in a secret's place.
 MASK = "[SECRET]"
 
-# Words that stand before or in secrets, before harmless digests, in placeholders, and a small dictionary of names in code.
+# Words that stand before or in secrets, before harmless digests, and in placeholders.
 SECRET_WORDS = frozenset("token tokens secret secrets password passwd pwd pass apikey api_key key access_key secret_key auth authorization bearer credential credentials private".split())
 HARMLESS_WORDS = frozenset("commit sha sha1 sha256 md5 digest checksum hash etag uuid guid id build version revision rev image data base64 order invoice isbn parent tree blob".split())
 PLACEHOLDERS = frozenset("example sample changeme change your placeholder dummy test xxxx none null redacted todo here insert".split())
-DICTIONARY = frozenset(
-    "access account action admin after alpha array asset async author backup base before block branch build bundle cache call case change check class client cloud code color column command commit config connect content control core count create current custom data database date debug default delete design detail device direct display document domain download edit email engine entry error event export factory field file filter find first folder form format frame function general global group handler hash header help home host image import index info init input insert install interface item java json label language layout length level library license line link list load local lock main manager master media member memory menu message method mode model module monitor name network node note number object option order output owner package page panel path plugin policy post preview print process product profile project query".split()
-)
+
+
+@lru_cache(maxsize=2)
+def dictionary(path: str) -> frozenset[str]:
+    """The words of four letters and more in a byte-level vocabulary of the tokenizers library, lower-cased."""
+    with open(path, encoding="utf-8") as f:
+        pieces = json.load(f)["model"]["vocab"]
+    return frozenset(p[1:].lower() for p in pieces if re.fullmatch("\u0120[A-Za-z][a-z]{3,}", p))
+
 
 _RUN = r"[A-Za-z0-9+/_\-]{8,}={0,2}(?:\.[A-Za-z0-9+/_\-]{4,}={0,2})*"
 #: A candidate, with the name that it's assigned to: a quoted value, a run of key characters with signs inside, or after no name a run alone. The first part of an address's //user:password@ is no value.
@@ -76,12 +88,12 @@ def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(text: str, m: re.Match) -> list[float]:
+def features(text: str, m: re.Match, known: frozenset[str]) -> list[float]:
     """The measurements of one candidate in its surroundings, in the order of FEATURES."""
     own, name = m[2], (m[1] or "").lower()
     n, kinds = len(own), [_class(c) for c in own]
     counts = np.unique(list(own), return_counts=True)[1] / n
-    covered = sum(len(p) for p in _PARTS.findall(own) if p.lower() in DICTIONARY)
+    covered = sum(len(p) for p in _PARTS.findall(own) if p.lower() in known)
     before, after = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 30]
     near = [w.lower() for w in _WORD.findall(before)[-2:]]
     ahead = text[max(0, m.start(2) - 8) : m.start(2)]
@@ -112,13 +124,13 @@ def features(text: str, m: re.Match) -> list[float]:
     ]
 
 
-def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
+def labelled_findings(n: int = 6000, seed: int = 7, vocabulary: str = VOCABULARY) -> list[tuple[str, int]]:
     """(text around one candidate, 1 for a secret) by rule: keys of many forms against digests, ids, numbers, paths, names and placeholders."""
     rng = random.Random(seed)
     pick = lambda alphabet, lo, hi=None: "".join(rng.choices(alphabet, k=rng.randint(lo, hi or lo)))
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     upper, lower = alnum[:26] + alnum[52:], "abcdefghijklmnopqrstuvwxyz"
-    words, secret, harmless = sorted(DICTIONARY), sorted(SECRET_WORDS), sorted(HARMLESS_WORDS)
+    words, secret, harmless = sorted(w for w in dictionary(vocabulary) if len(w) < 11), sorted(SECRET_WORDS), sorted(HARMLESS_WORDS)
     filler = lambda: " ".join(rng.choice((rng.choice(words), pick(lower, 2, 9))) for _ in range(rng.randint(0, 4)))
     quote = lambda s: (q := rng.choice(('"', "'", ""))) + s + q
     sign = lambda: rng.choice((" = ", "=", ": ", ":", " := "))
@@ -171,34 +183,27 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> list[tuple[str, int]]:
 
 
 class Forest:
-    """Trees as arrays: for each node the feature, the threshold, both children; a leaf has feature -1 and its class as threshold."""
-
-    def __init__(self, described: str):
-        self.trees = []
-        for block in re.split(r"\n\s*Tree \d+ .*\n", described)[1:]:
-            lines = [x.strip() for x in block.strip("\n").split("\n")]
-            nodes: list[list[float]] = []
-            at = 0
-
-            def grow() -> int:
-                nonlocal at
-                line, own = lines[at], len(nodes)
-                at += 1
-                nodes.append([-1, 0.0, 0, 0])
-                if line.startswith("Predict"):
-                    nodes[own][1] = float(line.split(":")[1])
-                else:
-                    feature, threshold = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-                    left = grow()
-                    at += 1  # the line of its Else
-                    nodes[own] = [int(feature), float(threshold), left, grow()]
-                return own
-
-            grow()
-            self.trees.append(np.array(nodes))
-
-    def votes(self, rows: np.ndarray) -> np.ndarray:
-        """The share of trees that take each row for a secret."""
+    """Trees as arrays: for each node the feature, the threshold, both children and the share of secrets; a leaf has feature -1. known: the dictionary."""
+
+    def __init__(self, trees: list[np.ndarray], known: frozenset[str]):
+        self.trees, self.known = trees, known
+
+    @classmethod
+    def of(cls, spark: SparkSession, model: RandomForestClassificationModel, known: frozenset[str]) -> Forest:
+        """The nodes as Spark's ML library saves them."""
+        with Scratch(spark, "forest") as scratch:
+            model.write().save(scratch.path)
+            nodes = spark.read.parquet(f"{scratch.path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()  # bounded by trees and depth
+        trees: dict[int, list[list[float]]] = {}
+        for r in nodes:
+            split = r["split"]
+            inner = r["leftChild"] >= 0
+            threshold = split["leftCategoriesOrThreshold"][0] if inner else 0.0
+            trees.setdefault(r["treeID"], []).append([split["featureIndex"] if inner else -1, threshold, r["leftChild"], r["rightChild"], r["impurityStats"][1] / sum(r["impurityStats"])])
+        return cls([np.array(t) for _, t in sorted(trees.items())], known)
+
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """The mean over the trees of the share of secrets in each row's leaf."""
         total = np.zeros(len(rows))
         for tree in self.trees:
             at = np.zeros(len(rows), int)
@@ -207,48 +212,57 @@ class Forest:
                 node = tree[at[i]]
                 left = rows[i, node[:, 0].astype(int)] <= node[:, 1]
                 at[i] = np.where(left, node[:, 2], node[:, 3]).astype(int)
-            total += tree[at, 1]
+            total += tree[at, 4]
         return total / len(self.trees)
 
 
-def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None, trees: int = 24, depth: int = 8, seed: int = 1) -> Forest:
-    """A forest from labelled findings, of which the first MOST_LABELS are used."""
+def fit(spark: SparkSession, findings: list[tuple[str, int]] | None = None, trees: int = 24, depth: int = 8, seed: int = 1, vocabulary: str = VOCABULARY) -> tuple[RandomForestClassificationModel, DataFrame]:
+    """Spark's model and the measured findings that it was trained on, of which the first MOST_LABELS are used."""
     rows = []
-    for text, label in (findings if findings is not None else labelled_findings())[:MOST_LABELS]:
-        rows += [(Vectors.dense(features(text, m)), float(label)) for m in candidates(text)]
+    for text, label in (findings if findings is not None else labelled_findings(vocabulary=vocabulary))[:MOST_LABELS]:
+        rows += [(Vectors.dense(features(text, m, dictionary(vocabulary))), float(label)) for m in candidates(text)]
     data = spark.createDataFrame(rows, ["features", "label"]).coalesce(2)
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(data)
-    return Forest(model.toDebugString)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=64).fit(data), data
+
+
+def train(spark: SparkSession, findings: list[tuple[str, int]] | None = None, vocabulary: str = VOCABULARY, **how) -> Forest:
+    """A forest from labelled findings."""
+    return Forest.of(spark, fit(spark, findings, vocabulary=vocabulary, **how)[0], dictionary(vocabulary))
+
+
+def scan_texts(texts: list[str | None], forest: Forest) -> list[list[tuple[int, int, float]]]:
+    """(start, end, score) of every candidate of each text, all judged at once; those of at least the threshold are secrets."""
+    found = [list(candidates(t)) if t else [] for t in texts]
+    rows = [features(t, m, forest.known) for t, ms in zip(texts, found, strict=True) for m in ms]
+    scores = iter(forest.scores(np.array(rows)).tolist() if rows else ())
+    return [[(*m.span(2), next(scores)) for m in ms] for ms in found]
+
+
+def scan_text(text: str, forest: Forest) -> list[tuple[int, int, float]]:
+    return scan_texts([text], forest)[0]
 
 
-def scan_text(text: str, forest: Forest, threshold: float) -> list[tuple[int, int, float]]:
-    """(start, end, score) of every candidate; those of at least the threshold are secrets."""
-    found = list(candidates(text))
-    if not found:
-        return []
-    scores = forest.votes(np.array([features(text, m) for m in found]))
-    return [(*m.span(2), float(s)) for m, s in zip(found, scores, strict=True)]
+def masked(text: str | None, bad: list[tuple[int, int, float]]) -> str | None:
+    """The text with MASK in place of the spans, which are in order and apart."""
+    if not bad:
+        return text
+    starts, ends = [0, *(x[1] for x in bad)], [*(x[0] for x in bad), len(text)]
+    return MASK.join(text[a:b] for a, b in zip(starts, ends, strict=True))
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """docs with every secret masked in its text, n_candidates and n_secrets."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # some thousand numbers, however many rows
+    shared = docs.sparkSession.sparkContext.broadcast(forest)  # some ten thousand numbers and words, however many rows
     docs = docs.select(F.col(f"`{text_col}`").cast("string").alias(text_col), *(F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_candidates", "n_secrets")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
         for batch in batches:
             for part in slices(batch, 0):
-                texts, seen, secret = [], [], []
-                for text in part.column(0).to_pylist():
-                    found = scan_text(text, forest, threshold) if text else []
-                    bad = [x for x in found if x[2] >= threshold]
-                    for start, end, _ in reversed(bad):
-                        text = text[:start] + MASK + text[end:]
-                    texts.append(text)
-                    seen.append(len(found))
-                    secret.append(len(bad))
-                yield pa.record_batch([pa.array(texts, pa.string()), *part.columns[1:], pa.array(seen, pa.int64()), pa.array(secret, pa.int64())], names=[*part.schema.names, "n_candidates", "n_secrets"])
+                texts = part.column(0).to_pylist()
+                found = scan_texts(texts, shared.value)
+                bad = [[x for x in own if x[2] >= threshold] for own in found]
+                done = [pa.array([masked(t, b) for t, b in zip(texts, bad, strict=True)], pa.string()), *part.columns[1:], *(pa.array([len(x) for x in own], pa.int64()) for own in (found, bad))]
+                yield pa.record_batch(done, names=[*part.schema.names, "n_candidates", "n_secrets"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", n_candidates long, n_secrets long"
     return docs.mapInArrow(run, schema)
