@@ -5,13 +5,14 @@ grow by one block of dimensions at a time. What the remaining dimensions can sti
 two remaining norms, so each pair has a lower and an upper bound; pairs whose upper bound is under the query's k-th best
 lower bound leave, candidates that no query needs are compacted away, and once few pairs are left they go on as a list.
 
-How it scales: candidates are packed into blocks of BLOCK where they are read, without a shuffle. Query blocks of
-QUERY_BLOCK are dealt to every block of candidates, each pair of blocks being one row of its own, so tasks hold two blocks
-whatever the tables' size. A pair of blocks returns k rows a query at most, which meet in one window per query.
-
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do those whose
-length isn't the most common one's (ties: the longer); ties go to the smaller id; repeated ids are separate candidates,
-but no query meets a row of its own id; no queries or no candidates give an empty result. Products must fit a long.
+How it scales: candidates are packed into blocks of BLOCK_BYTES where they are read, and each block moves once, to one of the slots of
+its length. Query blocks of QUERY_BLOCK move to every slot: they are the smaller side, so what is shuffled is queries times blocks of candidates, and
+a task holds the few blocks of one slot and one query block at a time. A slot returns k rows a query at most, which meet in one window
+per query. The products themselves grow with queries times candidates, as the search is exact.
+
+Defined results: vectors that are null, empty or hold null or non-finite components take no part; a query meets the vectors of its own
+length, as no product with others exists; ties go to the smaller id; repeated ids are separate candidates, but no query meets a row of
+its own id; no queries or no candidates give an empty result; other columns are ignored. Products must fit a long.
 """
 
 from __future__ import annotations
@@ -20,18 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Candidates in a block, queries in a block, dimensions added at once.
-BLOCK, QUERY_BLOCK, DIMS = 4096, 512, 16
+#: Bytes of vectors in a block of candidates, candidates in it at most, blocks to a slot, queries in a block, dimensions added at once.
+BLOCK_BYTES, BLOCK, SLOT, QUERY_BLOCK, DIMS = 8 << 20, 16_384, 4, 512, 16
 #: Pairs go on as a list once fewer than this share of the matrix is left.
 SPARSE = 0.1
 
-BLOCK_SCHEMA = "block long, n int, ids binary, vectors binary"
+BLOCK_SCHEMA = "length int, ids binary, vectors binary"
 
 
 def usable(vector: Column) -> Column:
@@ -40,29 +40,31 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.size(vector) > 0, F.lit(False)) & F.coalesce(good, F.lit(False))
 
 
-def blocks(rows: DataFrame, most: int) -> DataFrame:
-    """Rows of (id, vector of doubles) packed vertically, `most` to a block, where they lie; block is the number of the partition."""
+def blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """Rows of (id, vector of doubles) packed vertically where they lie, vectors of one length and at most `most` of them, or BLOCK_BYTES, to a block; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, n = TaskContext.get().partitionId(), [], 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def out() -> Iterator[pa.RecordBatch]:
-            ids, flat = (np.concatenate(x) for x in zip(*held, strict=True))
-            for at in range(0, len(ids), most):
-                own = np.ascontiguousarray(flat[at : at + most].T)
-                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([own.shape[1]], pa.int32()), pa.array([ids[at : at + most].tobytes()]), pa.array([own.tobytes()])], names=["block", "n", "ids", "vectors"])
+        def out(length: int) -> Iterator[pa.RecordBatch]:
+            ids, flat = (np.concatenate(x) for x in zip(*held.pop(length), strict=True))
+            step = max(1, min(most, BLOCK_BYTES // (8 * length)))
+            for at in range(0, len(ids), step):
+                own = np.ascontiguousarray(flat[at : at + step].T)
+                yield pa.record_batch([pa.array([length], pa.int32()), pa.array([ids[at : at + step].tobytes()]), pa.array([own.tobytes()])], names=["length", "ids", "vectors"])
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            held.append((ids, batch.column(1).flatten().to_numpy().reshape(len(ids), -1)))
-            n += len(ids)
-            if n >= most:
-                yield from out()
-                held, n = [], 0
-        if n:
-            yield from out()
+            ids, lengths = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
+            flat, starts = batch.column(1).flatten().to_numpy(), np.cumsum(lengths) - lengths
+            for length in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == length)
+                held.setdefault(length, []).append((ids[own], flat[(starts[own][:, None] + np.arange(length)).ravel()].reshape(-1, length)))
+                if sum(len(x) for x, _ in held[length]) >= max(1, min(most, BLOCK_BYTES // (8 * length))):
+                    yield from out(length)
+        for length in list(held):
+            yield from out(length)
 
-    return materialize(rows.mapInArrow(run, BLOCK_SCHEMA), "blocks")
+    return materialize(rows.mapInArrow(run, BLOCK_SCHEMA), name)
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,25 +121,29 @@ def _first(q: np.ndarray, c: np.ndarray, score: np.ndarray, row_ids: np.ndarray,
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k candidates of the largest inner product. Components are whole numbers as doubles."""
-    shape = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    rows, asked = shape(candidates), shape(queries)
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    if dims is None:
-        return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    right = F.size("v") == dims["d"]
-    n = max(1, -(-asked.filter(right).count() // QUERY_BLOCK))
-    left = blocks(rows.filter(right), BLOCK).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    asked = blocks(asked.filter(right).repartition(n), 1 << 20)  # one block to a partition, of about QUERY_BLOCK
-    dealt = asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("block").alias("query_block"))
-    paired = left.select("block", "query_block", "ids", "vectors").join(dealt, "query_block")
+    shape = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows, asked = blocks(shape(candidates), BLOCK, "candidates"), blocks(shape(queries), QUERY_BLOCK, "queries")
+    slots = rows.groupBy("length").agg(F.ceil(F.count("*") / SLOT).cast("int").alias("slots"))  # a row for each length
+    own = rows.join(slots, "length").select("length", F.pmod(F.xxhash64("ids"), F.col("slots")).cast("int").alias("slot"), F.lit(0).alias("asks"), "ids", "vectors")
+    to = asked.join(slots, "length").select("length", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(1).alias("asks"), "ids", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
         for batch in batches:
             for i in range(batch.num_rows):
-                one = [np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in enumerate((np.int64, np.float64, np.int64, np.float64))]
-                q, c, score = best(one[1].reshape(-1, len(one[0])), one[0], one[3].reshape(-1, len(one[2])), one[2], k)
-                yield pa.record_batch([pa.array(one[0][q]), pa.array(one[2][c]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    found = paired.repartition(F.xxhash64("ids"), "query_block").select("query_ids", "query_vectors", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score long")
+                length, slot, asks = (batch.column(j)[i].as_py() for j in range(3))
+                ids, flat = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in ((3, np.int64), (4, np.float64)))
+                if (length, slot) != at:
+                    at, held = (length, slot), []
+                if not asks:
+                    held.append((ids.copy(), flat.reshape(length, -1).copy()))
+                    continue
+                found = [best(flat.reshape(length, -1), ids, own, own_ids, k) for own_ids, own in held]
+                q, c, score = (np.concatenate(x) for x in zip(*((q, own_ids[c], s) for (q, c, s), (own_ids, _) in zip(found, held, strict=True)), strict=True)) if held else [np.zeros(0, np.int64)] * 3
+                first = _first(q, np.arange(len(c)), score, c, k)
+                yield pa.record_batch([pa.array(ids[first[0]]), pa.array(c[first[1]]), pa.array(first[2])], names=["query_id", "vec_id", "score"])
+
+    dealt = own.unionByName(to).repartition("length", "slot").sortWithinPartitions("length", "slot", "asks")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
