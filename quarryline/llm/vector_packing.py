@@ -12,7 +12,8 @@ look up by their rank among equals. Ranks come from counts per (length, bucket)
 length that a third of the pieces share is spread over as many buckets as there are shuffle partitions.
 
 Defined results: null or empty text is one piece, the end id; rows that repeat an id are packed once each; lengths of
-one piece lie in 1..max_tokens (others raise); empty tables give empty results; other columns are carried along.
+one piece lie in 1..max_tokens (others raise); empty tables give empty results; pack_pieces carries other columns along whatever their names, but
+for earlier ones named sequence_id and offset, which are replaced; token_pieces and pack_documents return PIECE_SCHEMA's columns alone.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, slices
 from .token_ids import bare_chunks, library_coder
@@ -118,28 +120,23 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 2048, max_docs: int | None
     shared = spark.sparkContext.broadcast(plan)  # bounded by max_tokens and the capacities, not by the corpus
 
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
-    sizes = bucketed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-    before = sizes.select("length", "__bucket", (F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n")).alias("__before"))
-    ranked = (
-        bucketed.withColumn("__within", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*key)))
-        .join(before, ["length", "__bucket"])
-        .withColumn("__rank", F.col("__before") + F.col("__within") - 1)
-    )
-    carried = pieces.columns
+    carried = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
+    rows = pieces.select(F.struct(*(F.col(f"`{f.name}`") for f in carried)).alias("row"), F.col("length").cast("long").alias("length"), F.struct(*key).alias("key"), F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("bucket"))
+    sizes = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
+    ranked = rows.withColumn("within", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("key"))).join(before, ["length", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         marks = plan[:, 0] << 44 | plan[:, 1]
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.int64) for c in ("length", "__rank"))
+            length, rank = (batch.column(k).to_numpy() for k in (1, 2))
             row = plan[np.searchsorted(marks, length << 44 | rank, side="right") - 1]
             at = rank - row[:, 1]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in carried]
-            yield pa.record_batch([*columns, pa.array(row[:, 3] + at // row[:, 4]), pa.array(row[:, 5] + at % row[:, 4] * length)], names=[*carried, "sequence_id", "offset"])
+            yield pa.record_batch([*batch.column(0).flatten(), pa.array(row[:, 3] + at // row[:, 4]), pa.array(row[:, 5] + at % row[:, 4] * length)], names=[*(f.name for f in carried), "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return ranked.select(*(F.col(f"`{c}`") for c in carried), "__rank").mapInArrow(run, schema)
+    schema = StructType([*carried, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    return ranked.select("row", "length", (F.col("before") + F.col("within") - 1).alias("rank")).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, **limits) -> DataFrame:
