@@ -87,14 +87,18 @@ def format_conversations(messages: DataFrame, loss_roles: tuple[str, ...] = ("as
     )
 
 
+def _read_back(body: Column) -> Column:
+    """The text of a body, placeholders left out."""
+    return unescape(F.regexp_replace(body, "<(" + "|".join(TOKENS) + ")>", ""))
+
+
 def parse_turns(formatted: Column) -> Column:
     """array<struct<role, text>> read back from a formatted conversation, placeholders left out."""
     pieces = F.filter(F.split(formatted, END), lambda x: x != "")
     cut = lambda x: F.locate(">\n", x)
-    plain = lambda x: unescape(F.regexp_replace(x, "<(" + "|".join(TOKENS) + ")>", ""))
-    return F.transform(pieces, lambda x: F.struct(unescape(F.substring(x, F.lit(7), cut(x) - 7)).alias("role"), plain(F.substring(x, cut(x) + 2, F.length(x))).alias("text")))
+    return F.transform(pieces, lambda x: F.struct(unescape(F.substring(x, F.lit(7), cut(x) - 7)).alias("role"), _read_back(F.substring(x, cut(x) + 2, F.length(x))).alias("text")))
 
 
 def parse_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return unescape(F.array_join(F.transform(spans, lambda s: F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))), ""))
+    """All text under the loss mask, unescaped and without placeholders, as in parse_turns."""
+    return F.array_join(F.transform(spans, lambda s: _read_back(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

@@ -10,7 +10,7 @@ Documents are dealt by ranges of doc_id and sorted within, encoded once, and wri
 lost executor costs only its tasks. Ids before a file are a running sum over one small row per file.
 
 Defined results: null or empty text holds the end id alone; rows that repeat an id keep one entry each, ordered by
-text; null doc_ids come first; an empty table gives files without rows; other columns are ignored.
+text; null doc_ids come first, all in one range, which one task writes; an empty table gives files without rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -170,5 +170,5 @@ def _decoded(spark: SparkSession, path: str, schema: str, row: Callable) -> Data
                 rows = [row(d, base + offset + e - n, ids[e - n : e]) for d, n, e in zip(doc_ids, lengths, ends, strict=True)]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=[f.split()[0] for f in schema.split(", ")])
 
-    rows = blocks.join(F.broadcast(before), "part").select("base", "id_offset", "doc_ids", "lengths", "words")  # one small row a file
+    rows = blocks.join(before, "part").select("base", "id_offset", "doc_ids", "lengths", "words")
     return rows.mapInArrow(run, schema)

@@ -4,10 +4,14 @@ A text is cut before every single space (and around every single line end) that
 pre-tokenizers of the vocabularies used here never let a token cross such a place, so the ids of a text are those of
 its chunks in turn; the library sees every distinct chunk whole. Chunks and ids of words seen before come from a
 memo that is emptied at MEMO entries, which bounds a worker's memory and changes no result.
+
+Strings of special tokens in a text are ordinary text, as the notes that come with the vocabularies have it: a document must not be able to write
+an end of document. A file with another pre-tokenizer or normalizer than those cuts are safe for is refused.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -31,6 +35,16 @@ def byte_letters() -> str:
     return "".join(chr(b) if b in shown else chr(next(hidden)) for b in range(256))
 
 
+# The normalizers and pre-tokenizers, as their files state them, for which no token crosses a single space.
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_WORDS = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+_LOWER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SAFE = (
+    (None, _BYTES | {"use_regex": True}),
+    ({"type": "Sequence", "normalizers": _LOWER}, {"type": "Sequence", "pretokenizers": [_WORDS, _BYTES | {"use_regex": False}]}),
+)
+
+
 class ChunkCoder:
     """encode: distinct chunks to lists of ids. A memo maps chunks to their ids as little-endian uint32 bytes.
 
@@ -100,6 +114,10 @@ class LibraryCoder(ChunkCoder):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        if (told["normalizer"], told["pre_tokenizer"]) not in SAFE or told["truncation"] or told["padding"]:
+            raise ValueError(f"{path}: whether texts may be cut at spaces is not known for its normalizer and pre-tokenizer")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
