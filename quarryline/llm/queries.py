@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, feistel, quality_ledger, secret_scan, sentencepiece_bpe, sharding, simhash, simple8b, vector_packing, vector_search
-from .common import scratch_path, table
+from .common import materialize, scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 #: A key for the synthetic tables; a real one comes from a secret store.
-PSEUDONYM_KEY = "synthetic tables"
+PSEUDONYM_KEY = b"synthetic tables"
 #: Into so many arrivals the documents are dealt.
 ARRIVALS = 8
 
@@ -38,10 +38,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality_ledger.ledger(table(spark, sf_dir, "documents"))
-    base = F.col("failures").bitwiseAND(F.lit(quality_ledger.mask("base"))) != 0
+    """The stored ledger under both policies; only_rule is the one rule of v1 that rejects a row, restored how many rows its ablation brings back."""
+    book = materialize(quality_ledger.ledger(table(spark, sf_dir, "documents")), "ledger")
+    alone = quality_ledger.ablations(book, "v1").select(F.col("rule").alias("only_rule"), F.col("failed_alone").alias("restored"))
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return book.select("doc_id", *measures, base.alias("base_failed"), quality_ledger.kept("v1").alias("kept"), "failures")
+    judged = book.select("doc_id", *measures, (~quality_ledger.kept("base")).alias("base_failed"), quality_ledger.kept("v1").alias("kept"), "failures", quality_ledger.only_rule("v1").alias("only_rule"))
+    return judged.join(F.broadcast(alone), "only_rule", "left").select("doc_id", *measures, "base_failed", "kept", "failures", "only_rule", "restored")  # a row for each rule
 
 
 @query
@@ -52,8 +54,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     done = chat_format.format_conversations(messages.withColumn("parts", chat_format.text_parts(F.col("text"))))
     read = done.select("conv_id", "formatted", chat_format.parse_turns(F.col("formatted")).alias("turns"), chat_format.parse_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
@@ -69,7 +71,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = feistel.pseudonymize(table(spark, sf_dir, "documents"), key=PSEUDONYM_KEY)
+    key = feistel.key_table(spark, scratch_path(spark, "key"), PSEUDONYM_KEY)
+    done = feistel.pseudonymize(table(spark, sf_dir, "documents"), key)
     return done.select("doc_id", "text", "lang", "source", F.size("findings").cast("long").alias("n_findings"), F.array_join(F.transform("findings", lambda m: F.concat_ws(":", m["kind"], m["pseudonym"])), ";").alias("findings"))
 
 
