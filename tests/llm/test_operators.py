@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import hmac
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -54,30 +57,62 @@ def tokenizer(name):
 # --- 1 sharding
 
 
-def test_sharding(spark, odd):
+def store_files(store):
+    root = Path(store.path.removeprefix("file://")) / "data"
+    return {str(f.relative_to(root)) for f in root.rglob("*.parquet")}
+
+
+def test_sharding(spark, odd, empty):
     store = sharding.ShardStore(spark, scratch_path(spark, "store"), fan_in=2, smallest=100)
     want = sorted(map(str, odd.collect()))
     store.append(odd.filter("doc_id < 4"))
     first = store.version()
-    store.append(odd.filter("doc_id >= 4"))
+    store.append(odd.filter("doc_id >= 4").select(*reversed(odd.columns)))
     store.append(odd.filter("doc_id IS NULL"))
     store.append(odd.filter("false"))
-    files = len(store.runs())
+    assert len(store.runs()) == 4 and sum(r["rows"] for r in store.runs()) == len(ODD)
     store.compact()
-    assert files == 4 and len(store.runs()) < 4 and sorted(map(str, store.read().collect())) == want
+    assert len(store.runs()) < 4 and sorted(map(str, store.read().select(odd.columns).collect())) == want
     assert store.read(first).count() == 3  # an older version stays readable
     assert sum(r["rows"] for r in store.runs()) == len(ODD)
     store.vacuum()
-    assert sorted(map(str, store.read().collect())) == want
+    assert sorted(map(str, store.read().select(odd.columns).collect())) == want
+    assert store_files(store) == {f[0] for r in store.runs() for f in store.files(r)}
     tiers = Counter(store.tier(r["bytes"]) for r in store.runs())
     assert max(tiers.values()) < 2
+    with pytest.raises(ValueError, match="are not those"):
+        store.append(odd.withColumnRenamed("lang", "language"))
+    with pytest.raises(ValueError, match="no committed version"):
+        sharding.ShardStore(spark, scratch_path(spark, "none")).read()
+    bare = sharding.ShardStore(spark, scratch_path(spark, "store"))
+    bare.append_by(empty.withColumn("arrival", F.lit(1)), "arrival")
+    assert bare.read().count() == 0 and bare.read().columns == empty.columns and bare.compact() == 1
 
 
-def test_sharding_by_column_and_races(spark, odd):
+def test_sharding_by_column(spark, odd):
+    store = sharding.ShardStore(spark, scratch_path(spark, "store"), fan_in=2, smallest=100)
+    named = odd.withColumn("rows", F.lit("clash")).withColumn("files", F.lit(1))
+    store.append_by(named.withColumn("arrival", F.when(F.col("doc_id") % 3 == 0, "a=b c/d%").when(F.col("doc_id") % 3 == 1, "é")), "arrival")
+    assert store.version() == 3 and sorted(r["rows"] for r in store.runs()) == sorted(Counter((r[0] % 3) if r[0] is not None and r[0] % 3 < 2 else None for r in ODD).values())
+    store.compact()
+    store.vacuum()
+    assert sorted(map(str, store.read().select(named.columns).collect())) == sorted(map(str, named.collect()))
+
+
+def test_sharding_leaves_large_files(spark):
+    """A file of the target's size is listed by later runs and never rewritten."""
+    store = sharding.ShardStore(spark, scratch_path(spark, "store"), target_bytes=3000, fan_in=2, ratio=2, smallest=1000)
+    for k in range(4):
+        store.append(spark.range(600 * k, 600 * (k + 1)).select((F.xxhash64("id")).alias("x")).coalesce(1))
+    large = {f[0] for r in store.runs() for f in store.files(r) if 2 * f[1] >= 3000}
+    store.compact()
+    assert len(large) == 4 and len(store.runs()) < 4 and {f[0] for r in store.runs() for f in store.files(r)} == large and store.read().count() == 2400
+
+
+def test_sharding_races(spark, odd):
     path = scratch_path(spark, "store")
     a, b = sharding.ShardStore(spark, path), sharding.ShardStore(spark, path)
-    a.append_by(odd.withColumn("arrival", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3))), "arrival")
-    assert a.version() == 3 and sorted(map(str, a.read().select(odd.columns).collect())) == sorted(map(str, odd.collect()))
+    a.append(odd)
     seen = []
 
     def slow(runs):  # another writer commits in between
@@ -86,9 +121,25 @@ def test_sharding_by_column_and_races(spark, odd):
             b._commit(lambda r: r)
         return runs
 
-    assert a._commit(slow) == 5
-    with pytest.raises(ValueError, match="no committed version"):
-        sharding.ShardStore(spark, scratch_path(spark, "none")).read()
+    assert a._commit(slow) == 3
+    folder, files = a._written(odd)  # an append that hasn't committed yet
+    run = a._run(files)
+    b.vacuum()
+    a._commit(lambda runs: [*runs, run], odd.schema)
+    assert b.read().count() == 2 * len(ODD)
+    a._delete(f"pending/{folder}")
+    lost, _ = a._written(odd)  # one that never will
+    b.vacuum()
+    assert any(f.startswith(lost) for f in store_files(b))
+    sharding.ShardStore(spark, path, abandoned=-10).vacuum()
+    assert not any(f.startswith(lost) for f in store_files(b)) and b.read().count() == 2 * len(ODD)
+
+    group = a.runs()[:2]
+    _, merged = a._merge(group)
+    b.compact() if len(b.runs()) >= b.fan_in else b._commit(lambda runs: [r for r in runs if r["id"] != group[0]["id"]])
+    gone = {r["id"] for r in group}
+    a._commit(lambda runs: [*(r for r in runs if r["id"] not in gone), merged] if gone <= {r["id"] for r in runs} else runs)
+    assert merged["id"] not in {r["id"] for r in b.runs()}  # the merge of a run that is gone isn't published
 
 
 # --- 2 quality rules
@@ -124,7 +175,7 @@ def test_quality_ledger(spark, odd, empty):
 def test_secret_scan(spark, odd, empty):
     labelled = secret_scan.labelled_findings(4000, seed=11)
     forest = secret_scan.train(spark, labelled[:3000])
-    judged = [(secret_scan.scan_text(t, forest, 0.5)[0][2] >= 0.5, bool(y)) for t, y in labelled[3000:]]
+    judged = [(secret_scan.scan_text(t, forest)[0][2] >= 0.5, bool(y)) for t, y in labelled[3000:]]
     right = sum(a == b for a, b in judged) / len(judged)
     assert right > 0.95, right
     assert secret_scan.scan(empty, forest).count() == 0
@@ -140,18 +191,47 @@ def test_secret_scan(spark, odd, empty):
         assert (done[doc_id]["n_secrets"] > 0) == secret and (done[doc_id]["text"] == text) != secret, text
 
 
+def test_forest_is_the_model(spark):
+    model, data = secret_scan.fit(spark, secret_scan.labelled_findings(800, seed=3), trees=6)
+    seen = model.transform(data).select("features", "probability").collect()
+    forest = secret_scan.Forest.of(spark, model, frozenset())
+    assert np.allclose(forest.scores(np.array([r["features"].toArray() for r in seen])), [r["probability"][1] for r in seen], atol=1e-12)
+
+
+def test_secrets_of_the_tables(spark):
+    """Precision and recall on documents that the training never saw: planted assignments and keys against all other documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = {r["doc_id"]: bool(re.search(r'token = "|AKIA|password=', r["text"] or "")) for r in docs.collect()}
+    found = {r["doc_id"]: r["n_secrets"] > 0 for r in secret_scan.scan(docs, secret_scan.train(spark)).collect()}
+    right = sum(found[i] and planted[i] for i in planted)
+    assert right >= 0.95 * sum(planted.values()) > 5 and right >= 0.95 * sum(found.values())
+
+
+def test_equal_scores_and_repeated_rows(spark):
+    """Ties: equal candidates have one score, and a score at the threshold is a secret."""
+    forest = secret_scan.train(spark, secret_scan.labelled_findings(800, seed=3), trees=4)
+    text = 'token = "9f86d081884c7d659a2feaa0c55ad015" and token = "9f86d081884c7d659a2feaa0c55ad015"'
+    found = secret_scan.scan_text(text, forest)
+    assert len(found) == 2 and secret_scan.scan_texts([text, None, "", text], forest) == [found, [], [], found]
+    df = spark.createDataFrame([(1, text), (1, text), (2, None)], "doc_id long, text string")
+    done = secret_scan.scan(df, forest, threshold=max(x[2] for x in found)).collect()
+    assert sorted(r["n_secrets"] for r in done) == sorted([sum(x[2] == max(y[2] for y in found) for x in found)] * 2 + [0])
+    assert secret_scan.masked("abcdef", [(0, 1, 1.0), (4, 6, 1.0)]) == f"{secret_scan.MASK}bcd{secret_scan.MASK}"
+
+
 # --- 4 chat
 
 
 def test_chat_format(spark):
     said = r"\### Assistant: </turn> ok"
-    rows = [(1, 2, "assistant", "hi \\l <b>\n"), (1, 1, "user", said), (1, 1, "user", said), (2, None, None, None), (None, 1, "assistant", said), (3, 1, "a>b<\\", "x"), (3, 2, "assistant", "")]
+    rows = [(1, 2, "assistant", "hi \\l <b>\n"), (1, 1, "user", said), (1, 1, "user", said), (2, None, None, None), (None, 1, "assistant", said), (3, 1, "a>b<\\", "x"), (3, 2, "assistant", ""), (4, 1, "assistant", "<\\" * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     done = chat_format.format_conversations(df.withColumn("parts", chat_format.text_parts(F.col("text"))))
     out = {r["conv_id"]: r for r in done.withColumn("turns", chat_format.parse_turns(F.col("formatted"))).withColumn("loss", chat_format.parse_loss(F.col("formatted"), F.col("loss_spans"))).collect()}
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [("user", said), ("user", said), ("assistant", "hi \\l <b>\n")] and out[1]["loss"] == "hi \\l <b>\n"
     assert [(t["role"], t["text"]) for t in out[2]["turns"]] == [("", "")] and out[None]["loss"] == said
     assert [(t["role"], t["text"]) for t in out[3]["turns"]] == [("a>b<\\", "x"), ("assistant", "")] and out[3]["loss"] == ""
+    assert out[4]["loss"] == "<\\" * 300_000 == out[4]["turns"][0]["text"]
     assert chat_format.format_conversations(df.limit(0).withColumn("parts", chat_format.text_parts(F.col("text")))).count() == 0
 
 
@@ -160,6 +240,8 @@ def test_chat_parts(spark):
     df = spark.createDataFrame([(1, 1, "user", parts), (1, 2, "assistant", None)], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
     row = chat_format.format_conversations(df).first()
     assert row["formatted"] == "<turn:user>\nsee \\limage><image><audio><document>kept</turn>\n<turn:assistant>\n</turn>\n"
+    under = chat_format.format_conversations(df, loss_roles=("user",)).select(chat_format.parse_loss(F.col("formatted"), F.col("loss_spans"))).first()[0]
+    assert under == "see <image>kept"
     assert [(a["type"], a["ref"], a["tokens"]) for a in row["attachments"]] == [("image", "s3://a.png", 85 + 340), ("audio", "b.wav", 100), ("document", "c.pdf", 600)] and row["attachment_tokens"] == 1125
 
 
@@ -170,13 +252,18 @@ def luhn(digits):
     return sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
-def test_feistel(spark, odd, empty):
+@pytest.fixture(scope="module")
+def key(spark):
+    return feistel.key_table(spark, scratch_path(spark, "key"), b"key")
+
+
+def test_feistel(spark, odd, empty, key):
     card = "4845168114407329"
     card = next(card[:15] + str(d) for d in range(10) if luhn(card[:15] + str(d)))
     bad = card[:15] + str((int(card[15]) + 1) % 10)
-    kept = [f"order {bad} here", "version 1.2.3.400 and 999.1.1.1", "on 2024-02-31 or 20240229", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "call 555-7713", "a@b"]
+    kept = [f"order {bad} here", "version 1.2.3.400 and 999.1.1.1", "on 2024-02-31 or 20240229", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "call 555-7713", "a@b", "000-12-3456 666-12-1234 912-34-5678 123-00-1234 123-45-0000", "2024-02/29 31.02.2024", "x@y.1"]
     rows = [(1, f"pay {card}, on 2024-02-29."), (2, f"again {card} from 129.38.82.176. end"), (3, "call +1 (017) 555-7713 or the.72@mail3.example.com###"), (4, "ssn 123-45-6789"), *((10 + i, t) for i, t in enumerate(kept))]
-    done = {r["doc_id"]: r for r in feistel.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("x")), "key").collect()}
+    done = {r["doc_id"]: r for r in feistel.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string").withColumn("__found0", F.lit("x")).withColumn("__key0", F.lit("y")).withColumn("findings", F.lit("z")), key).collect()}
     for i, text in enumerate(kept):
         assert done[10 + i]["text"] == text and not done[10 + i]["findings"]
     found = lambda i: {m["kind"]: m["pseudonym"] for m in done[i]["findings"]}
@@ -186,16 +273,48 @@ def test_feistel(spark, odd, empty):
     assert found(2)["ip"] != "129.38.82.176" and all(0 <= int(x) < 256 for x in found(2)["ip"].split("."))
     phone = found(3)["phone"]
     assert phone.startswith("+1 (") and len(phone) == 17 and phone != "+1 (017) 555-7713" and done[3]["text"].endswith("@pseudonym.invalid###")
+    assert all(r["__found0"] == "x" and r["__key0"] == "y" for r in done.values())
     assert len(found(4)["ssn"]) == 11 and found(4)["ssn"] != "123-45-6789"
-    assert [(r["doc_id"], r["text"]) for r in feistel.pseudonymize(odd, "key").orderBy("doc_id", "text").collect()] == sorted((r[:2] for r in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    assert feistel.pseudonymize(empty, "key").count() == 0
+    assert [(r["doc_id"], r["text"]) for r in feistel.pseudonymize(odd, key).orderBy("doc_id", "text").collect()] == sorted((r[:2] for r in ODD), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    assert feistel.pseudonymize(empty, key).count() == 0
+
+
+@pytest.mark.parametrize(("text", "form"), [
+    ("call +49 30 1234567.", r"call \+49 \d\d \d{7}\."), ("+1-202-555-0143", r"\+1-\d{3}-\d{3}-\d{4}"), ("202-555-0143", r"\d{3}-\d{3}-\d{4}"), ("(202) 555-0143", r"\(\d{3}\) \d{3}-\d{4}"),
+    ("3782 822463 10005", r"\d{4} \d{6} \d{5}"), ("378282246310005", r"\d{15}"), ("29.02.2024", r"\d\d\.\d\d\.\d{4}"), ("2024/02/29", r"\d{4}/\d\d/\d\d"), ("a.b@example.com1", r"u\w{14}@pseudonym\.invalid1"),
+    ("+1 (516) 555-2642 4795326016703902", r"\+1 \(\d{3}\) \d{3}-\d{4} \d{16}"),
+])
+def test_forms_keep_their_layout(spark, key, text, form):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    new = feistel.pseudonymize(df, key).first()["text"]
+    assert new != text and re.fullmatch(form, new)
+
 
+def test_matches_of_any_length(spark, key):
+    """Long runs of what the forms repeat; a backtracking repetition would overflow the stack."""
+    long = ["x@" + "a." * 50_000 + "1", "x" * 100_000 + "@" + "b." * 50_000 + "com", *(p * (5_000_000 // len(p)) for p in ("1", "1-", "1 ", "1.", "a@", "a.", "+1 ", "(2", "1111 "))]
+    done = [r["text"] for r in feistel.pseudonymize(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), key).orderBy("doc_id").collect()]
+    assert done[0] == long[0] and done[1].endswith("@pseudonym.invalid") and done[2:8] == long[2:8]
 
-def test_feistel_is_a_permutation(spark):
+
+def test_feistel_is_a_permutation(spark, key):
     digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
-    assert {r[0] for r in digits.select(feistel.permute_digits(F.col("d"), "k", "n")).collect()} == {f"{i:03d}" for i in range(1000)}
-    a, b = (digits.select(feistel.permute_digits(F.col("d"), k, "n")).collect() for k in ("k", "other"))
-    assert a != b
+    other = feistel.key_table(spark, scratch_path(spark, "key"), b"other" * 20)
+    under = lambda k: [r[0] for r in digits.withColumn("k", k.select(F.struct("inner", "outer")).scalar()).select(feistel.permute_digits(F.col("d"), F.col("k"), "n")).collect()]
+    a, b = under(key), under(other)
+    assert set(a) == set(b) == {f"{i:03d}" for i in range(1000)} and a != b
+    ssn = spark.range(3000).selectExpr("id", "format_string('%03d-%02d-%04d', 1 + id % 665, 1 + id % 99, 1 + id) AS text")
+    new = {r["text"] for r in feistel.pseudonymize(ssn, key).collect()}
+    assert len(new) == 3000 and all(x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000" for x in new)
+
+
+def test_digests_are_hmac_and_the_key_is_not_in_the_plan(spark, key):
+    for secret in (b"key", b"other" * 20):
+        table = feistel.key_table(spark, scratch_path(spark, "key"), secret)
+        got = spark.range(1).select(feistel.keyed_digest(table.select(F.struct("inner", "outer")).scalar(), F.lit("é"))).first()[0]
+        assert got == hmac.new(secret, "é".encode(), hashlib.sha256).hexdigest()
+    plan = feistel.pseudonymize(spark.createDataFrame([(1, "x")], "doc_id long, text string"), key)._jdf.queryExecution().toString()
+    assert bytes(x ^ 0x36 for x in b"key").hex() not in plan.lower()
 
 
 # --- 6 Simple-8b
@@ -239,7 +358,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     vectors = np.floor(rng.normal(0, 30, (700, 40)))
     vectors[100:400] = vectors[50]  # a vector that many rows hold
-    rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, []), (902, [None] * 40), (903, [float("nan")] * 40), (904, [1.0] * 3), (7, vectors[8].tolist()), (None, vectors[9].tolist())]
+    rows = [(int(i), v.tolist()) for i, v in enumerate(vectors)] + [(900, None), (901, []), (902, [None] * 40), (903, [float("nan")] * 40), (904, [1.0] * 3), (950, [2.0] * 3), (7, vectors[8].tolist()), (None, vectors[9].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).repartition(3)
     found = sorted(tuple(r) for r in vector_search.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect())
     ids = np.array([*range(700), 7])
@@ -248,6 +367,7 @@ def test_top_k(spark):
     for q in np.flatnonzero((ids % 50 == 0)):
         order = sorted((-int(m[q] @ m[j]), int(ids[j])) for j in range(len(ids)) if ids[j] != ids[q])[:5]
         want += [(int(ids[q]), k + 1, j, -s) for k, (s, j) in enumerate(order)]
+    want += [(950, 1, 904, 6)]  # of its own length there is one
     assert found == sorted(want)
     assert vector_search.top_k(df.limit(0), df, 5).count() == 0 and vector_search.top_k(df, df.limit(0), 5).count() == 0
     few = df.filter("vec_id IN (0, 1)")
@@ -438,5 +558,8 @@ def test_packing(spark, odd, empty):
         assert at <= 2048
     assert len({r["sequence_id"] for r in rows}) == -(-total // 2048)
     assert vector_packing.pack_documents(empty, public_tokenizers.path("word_bpe_49k.json")).count() == 0
+    clash = spark.createDataFrame([(1, 0, 5, "x"), (2, 0, 9, None), (2, 0, 9, "y")], "doc_id long, piece int, length long, offset string").withColumn("rank", F.lit(1)).withColumn("bucket", F.lit(2))
+    again = vector_packing.pack_pieces(clash, 16).collect()
+    assert sorted((r["length"], r["offset"]) for r in again) == [(5, 9), (9, 0), (9, 0)] and {(r["rank"], r["bucket"]) for r in again} == {(1, 2)}
     with pytest.raises(ValueError, match="up to 16"):
         vector_packing.pack_pieces(spark.createDataFrame([(1, 0, 17)], "doc_id long, piece int, length long"), 16)

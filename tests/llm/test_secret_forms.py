@@ -27,13 +27,13 @@ def forest(spark):
 @pytest.mark.parametrize(("form", "secret"), SECRETS)
 def test_form_is_masked_whole(forest, form, secret):
     text = form.format(secret)
-    bad = [text[a:b] for a, b, score in secret_scan.scan_text(text, forest, 0.5) if score >= 0.5]
+    bad = [text[a:b] for a, b, score in secret_scan.scan_text(text, forest) if score >= 0.5]
     assert bad == [secret]
 
 
 @pytest.mark.parametrize("text", HARMLESS)
 def test_harmless_stays(forest, text):
-    assert not [x for x in secret_scan.scan_text(text, forest, 0.5) if x[2] >= 0.5]
+    assert not [x for x in secret_scan.scan_text(text, forest) if x[2] >= 0.5]
 
 
 def test_name_can_be_a_secret(forest):
