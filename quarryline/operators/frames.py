@@ -1,12 +1,16 @@
 """Typed frames: a DataFrame with the verbs of its level.
 
 A frame wraps a DataFrame and delegates to it; whatever method returns a DataFrame comes back as the same kind of frame,
-so filters, sorts, samples and set operations keep the verbs.
+so filters, sorts, samples and set operations keep the verbs. As long as a chain from the repositories down has only been filtered,
+its frames remember the conditions (Chain), and an engine that can reads the whole chain in one scan; after any other
+method, the next verb is a semi join with what the frame holds.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -16,16 +20,45 @@ from ..functions import languages, uast
 from . import verbs
 
 
+@dataclass(frozen=True)
+class Chain:
+    """The conditions on each level so far, the last level being the frame's own, and whether only newest commits are in it."""
+
+    levels: tuple[tuple[str, tuple[Any, ...]], ...]
+    tip_only: bool = False
+
+    def where(self, condition: Any) -> Chain:
+        level, conditions = self.levels[-1]
+        return replace(self, levels=(*self.levels[:-1], (level, (*conditions, condition))))
+
+    def down(self, level: str, tip_only: bool | None = None) -> Chain:
+        return Chain((*self.levels, (level, ())), self.tip_only if tip_only is None else tip_only)
+
+
 class TypedFrame:
     """Delegates to .df; engine gives the tables that verbs join with."""
 
-    def __init__(self, df: DataFrame, engine: Any):
-        self.df, self.engine = df, engine
+    def __init__(self, df: DataFrame, engine: Any, chain: Chain | None = None):
+        self.df, self.engine, self.chain = df, engine, chain
 
-    def _wrap(self, df: DataFrame) -> TypedFrame:
-        return type(self)(df, self.engine)
+    def _wrap(self, df: DataFrame, chain: Chain | None = None) -> TypedFrame:
+        return type(self)(df, self.engine, chain)
+
+    def _widened(self, others: list[Any]) -> None:
+        """Called on a frame that may have taken in rows of others."""
+
+    def _where(self, verb: Callable[..., DataFrame], condition: Any) -> TypedFrame:
+        return self._wrap(verb(self.df), self.chain and self.chain.where(condition))
+
+    def _down(self, level: str, joined: Callable[[], DataFrame], tip_only: bool | None = None) -> tuple[DataFrame, Any, Chain | None]:
+        """The next level: in one scan of the chain if the engine can, else joined."""
+        chain = self.chain and self.chain.down(level, tip_only)
+        df = self.engine.chained(chain) if chain and hasattr(self.engine, "chained") else None
+        return (joined(), self.engine, None) if df is None else (df, self.engine, chain)
 
     def __getattr__(self, name: str) -> Any:
+        if name in ("df", "engine", "chain"):  # before __init__, as in copies
+            raise AttributeError(name)
         found = getattr(self.df, name)
         if not callable(found) or isinstance(found, type):
             return found
@@ -35,7 +68,11 @@ class TypedFrame:
             bare = lambda x: x.df if isinstance(x, TypedFrame) else x
             out = found(*map(bare, args), **{k: bare(v) for k, v in kwargs.items()})
             if isinstance(out, DataFrame):
-                return self._wrap(out)
+                given = [*args, *kwargs.values()]
+                frame = self._wrap(out, self.chain.where(given[0]) if self.chain and name in ("filter", "where") else None)
+                if name.startswith("union") or name == "transform":
+                    frame._widened([x for x in given if isinstance(x, TypedFrame | DataFrame)] if name != "transform" else [None])
+                return frame
             if isinstance(out, list) and out and all(isinstance(x, DataFrame) for x in out):  # randomSplit
                 return [self._wrap(x) for x in out]
             return out
@@ -53,7 +90,7 @@ class TypedFrame:
 class RepositoriesFrame(TypedFrame):
     @property
     def references(self) -> ReferencesFrame:
-        return ReferencesFrame(verbs.references_of(self.df, self.engine.table("references")), self.engine)
+        return ReferencesFrame(*self._down("references", lambda: verbs.references_of(self.df, self.engine.table("references"))))
 
     @property
     def remote_references(self) -> ReferencesFrame:
@@ -71,69 +108,87 @@ class RepositoriesFrame(TypedFrame):
 class ReferencesFrame(TypedFrame):
     @property
     def remote_references(self) -> ReferencesFrame:
-        return self._wrap(verbs.remote(self.df))
+        return self._where(verbs.remote, "is_remote")
 
     @property
     def head_ref(self) -> ReferencesFrame:
-        return self._wrap(verbs.heads(self.df))
+        return self._where(verbs.heads, F.col("name").isin(*verbs.HEADS))
 
     @property
     def master_ref(self) -> ReferencesFrame:
-        return self._wrap(verbs.masters(self.df))
+        return self._where(verbs.masters, F.col("name") == verbs.MASTER)
 
     def ref(self, name: str) -> ReferencesFrame:
-        return self._wrap(verbs.reference_named(self.df, name))
+        return self._where(lambda df: verbs.reference_named(df, name), F.col("name") == name)
 
     @property
     def commits(self) -> CommitsFrame:
         """The newest commit of each reference."""
-        return CommitsFrame(verbs.commits_of(self.df, self.engine.table("commits")), self.engine, self.df)
+        verbs.require(self.df, "commits", "repository_id", "name")
+        return CommitsFrame(*self._down("commits", lambda: verbs.commits_of(self.df, self.engine.table("commits")), True), references=self)
 
     @property
     def all_reference_commits(self) -> CommitsFrame:
-        return CommitsFrame(verbs.commits_of(self.df, self.engine.table("commits"), tip_only=False), self.engine, self.df, tip_only=False)
+        verbs.require(self.df, "commits", "repository_id", "name")
+        return CommitsFrame(*self._down("commits", lambda: verbs.commits_of(self.df, self.engine.table("commits"), tip_only=False)), references=self, tip_only=False)
 
     @property
     def blobs(self) -> BlobsFrame:
         return self.commits.tree_entries.blobs
 
 
-class CommitsFrame(TypedFrame):
+class _TipFrame(TypedFrame):
+    """tip_only: whether only newest commits are in it, so that a Git scan below needs no others."""
+
+    def __init__(self, df: DataFrame, engine: Any, chain: Chain | None = None, tip_only: bool = True):
+        super().__init__(df, engine, chain)
+        self._tip_only = tip_only
+
+    def _wrap(self, df: DataFrame, chain: Chain | None = None) -> TypedFrame:
+        return type(self)(df, self.engine, chain, self._tip_only)
+
+    def _widened(self, others: list[Any]) -> None:
+        self._tip_only = self._tip_only and all(isinstance(x, _TipFrame) and x._tip_only for x in others)
+
+
+class CommitsFrame(_TipFrame):
     """references: the frame that the commits come from, so that all its commits stay in reach of a chain on the newest."""
 
-    def __init__(self, df: DataFrame, engine: Any, references: DataFrame | None = None, tip_only: bool = True):
-        super().__init__(df, engine)
-        self._references, self._tip_only = references, tip_only
+    def __init__(self, df: DataFrame, engine: Any, chain: Chain | None = None, tip_only: bool = True, references: ReferencesFrame | None = None):
+        super().__init__(df, engine, chain, tip_only)
+        self._references = references
+
+    def _wrap(self, df: DataFrame, chain: Chain | None = None) -> CommitsFrame:
+        return CommitsFrame(df, self.engine, chain, self._tip_only, self._references)
 
-    def _wrap(self, df: DataFrame) -> CommitsFrame:
-        return CommitsFrame(df, self.engine, self._references, self._tip_only)
+    def _widened(self, others: list[Any]) -> None:
+        super()._widened(others)
+        if self._references is not None:
+            known = [x._references for x in others if isinstance(x, CommitsFrame) and x._references is not None]
+            self._references = functools.reduce(lambda a, b: a.unionByName(b).distinct(), known, self._references) if len(known) == len(others) else None
 
     @property
     def all_reference_commits(self) -> CommitsFrame:
         if self._references is None:
-            return CommitsFrame(self.engine.table("commits"), self.engine, tip_only=False)
-        return ReferencesFrame(self._references, self.engine).all_reference_commits
+            parent = self.df.select("repository_id", F.col("reference_name").alias("name"))
+            return CommitsFrame(verbs.commits_of(parent, self.engine.table("commits"), tip_only=False), self.engine, tip_only=False)
+        return self._references.all_reference_commits
 
     @property
     def tree_entries(self) -> TreeEntriesFrame:
-        return TreeEntriesFrame(verbs.tree_entries_of(self.df, self.engine.table("tree_entries", tip_only=self._tip_only)), self.engine, self._tip_only)
+        verbs.require(self.df, "tree_entries", "repository_id", "reference_name", "hash")
+        return TreeEntriesFrame(*self._down("tree_entries", lambda: verbs.tree_entries_of(self.df, self.engine.table("tree_entries", tip_only=self._tip_only))), tip_only=self._tip_only)
 
     @property
     def blobs(self) -> BlobsFrame:
         return self.tree_entries.blobs
 
 
-class TreeEntriesFrame(TypedFrame):
-    def __init__(self, df: DataFrame, engine: Any, tip_only: bool = False):
-        super().__init__(df, engine)
-        self._tip_only = tip_only
-
-    def _wrap(self, df: DataFrame) -> TreeEntriesFrame:
-        return TreeEntriesFrame(df, self.engine, self._tip_only)
-
+class TreeEntriesFrame(_TipFrame):
     @property
     def blobs(self) -> BlobsFrame:
-        return BlobsFrame(self.engine.contents(self.df, self._tip_only), self.engine)
+        verbs.require(self.df, "blobs", "commit_hash", "repository_id", "reference_name", "path", "blob")
+        return BlobsFrame(*self._down("blobs", lambda: self.engine.contents(self.df)))
 
 
 class BlobsFrame(TypedFrame):
@@ -156,9 +211,6 @@ class UastsFrame(TypedFrame):
         return self._wrap(uast.tokens(self.df, input_col, output_col))
 
 
-FRAMES = {"repositories": RepositoriesFrame, "references": ReferencesFrame, "commits": CommitsFrame, "tree_entries": TreeEntriesFrame, "blobs": BlobsFrame}
-
-
 def count_by(frame: TypedFrame | DataFrame, *columns: str) -> DataFrame:
     """Rows of each value, the most frequent first."""
     df = frame.df if isinstance(frame, TypedFrame) else frame

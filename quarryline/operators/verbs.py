@@ -22,7 +22,7 @@ def require(df: DataFrame, verb: str, *columns: str) -> None:
 def references_of(repositories: DataFrame, references: DataFrame) -> DataFrame:
     require(repositories, "references", "id")
     parent = repositories.select(F.col("id").alias("repository_id")).distinct()
-    return references.join(parent, "repository_id", "left_semi")
+    return references.join(parent, "repository_id", "left_semi").select(*references.columns)
 
 
 def commits_of(references: DataFrame, commits: DataFrame, tip_only: bool = True) -> DataFrame:
@@ -30,21 +30,27 @@ def commits_of(references: DataFrame, commits: DataFrame, tip_only: bool = True)
     require(references, "commits", "repository_id", "name")
     own = commits.filter("index = 0") if tip_only else commits
     parent = references.select("repository_id", F.col("name").alias("reference_name")).distinct()
-    return own.join(parent, ["repository_id", "reference_name"], "left_semi")
+    return own.join(parent, ["repository_id", "reference_name"], "left_semi").select(*commits.columns)
 
 
 def tree_entries_of(commits: DataFrame, tree_entries: DataFrame) -> DataFrame:
     require(commits, "tree_entries", "repository_id", "reference_name", "hash")
     parent = commits.select("repository_id", "reference_name", F.col("hash").alias("commit_hash")).distinct()
-    return tree_entries.join(parent, ["repository_id", "reference_name", "commit_hash"], "left_semi")
+    return tree_entries.join(parent, ["repository_id", "reference_name", "commit_hash"], "left_semi").select(*tree_entries.columns)
+
+
+def with_contents(tree_entries: DataFrame, contents: DataFrame) -> DataFrame:
+    """One row per tree entry whose content exists, with its path. contents: (blob_id, content, is_binary), one row a blob."""
+    joined = tree_entries.join(contents.select("blob_id", "content", "is_binary"), F.col("blob") == F.col("blob_id"))
+    return joined.select("blob_id", "commit_hash", "repository_id", "reference_name", "content", "is_binary", "path")
 
 
 def blobs_of(tree_entries: DataFrame, blobs: DataFrame) -> DataFrame:
-    """One row per tree entry whose content exists, with its path; contents are looked up once per blob."""
+    """with_contents from a table of blobs: only contents that the entries name are looked up, each once."""
     require(tree_entries, "blobs", "commit_hash", "repository_id", "reference_name", "path", "blob")
-    contents = blobs.groupBy("blob_id").agg(F.first("content").alias("content"), F.first("is_binary").alias("is_binary"))
-    joined = tree_entries.join(contents, F.col("blob") == F.col("blob_id"))
-    return joined.select("blob_id", "commit_hash", "repository_id", "reference_name", "content", "is_binary", "path")
+    wanted = tree_entries.select(F.col("blob").alias("blob_id")).distinct()
+    contents = blobs.select("blob_id", "content", "is_binary").join(wanted, "blob_id", "left_semi").dropDuplicates(["blob_id"])
+    return with_contents(tree_entries, contents)
 
 
 def reference_named(df: DataFrame, *names: str) -> DataFrame:

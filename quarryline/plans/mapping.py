@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import is_binary
+from ..operators import verbs
+from ..schemas import schema
+
 
 class Levels:
     """table(name) as an engine gives it, for the verbs and typed frames."""
@@ -18,14 +25,22 @@ class Levels:
     def table(self, name: str, tip_only: bool = False) -> DataFrame:
         return getattr(self, f"_{name}")()
 
-    def contents(self, tree_entries: DataFrame, tip_only: bool = False) -> DataFrame:
-        """Parts are stored once each, so a part's content needs no look-up per tree entry."""
-        parts = self._contents()
-        return tree_entries.join(parts, F.col("blob") == F.col("blob_id")).select("blob_id", "commit_hash", "repository_id", "reference_name", "content", "is_binary", "path")
+    def contents(self, tree_entries: DataFrame) -> DataFrame:
+        return verbs.blobs_of(tree_entries, self._contents())
 
-    def _contents(self) -> DataFrame:
-        from ..functions.scalar import is_binary
+    def scratch(self, name: str) -> str:
+        """A new folder in the one that the session names in spark.checkpoint.dir; only a local session without one gets a temporary one."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared and not self.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        return f"{(shared or 'file://' + tempfile.mkdtemp(prefix='quarryline-')).rstrip('/')}/quarryline/{name}-{uuid.uuid4().hex}"
 
+    def whole(self, name: str) -> DataFrame:
+        """A level with all the columns of its schema, those that the tables don't tell as nulls."""
+        df = self.table(name)
+        return df.select(*(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name).fields))
+
+    def _contents(self) -> DataFrame:
         parts = self.source("part").select(F.col("p_partkey").cast("string").alias("blob_id"), F.encode("p_name", "utf-8").alias("content"))
         return parts.withColumn("is_binary", is_binary(F.col("content")))
 

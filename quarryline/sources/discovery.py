@@ -13,7 +13,8 @@ def check_format(fmt: str) -> str:
     return fmt
 
 
-def _git_dir(folder: str, fmt: str) -> str | None:
+def git_dir_of(folder: str, fmt: str) -> str | None:
+    """The git folder of a repository's folder; None if none is there."""
     at = os.path.join(folder, ".git") if fmt == "standard" else folder
     return at if os.path.isfile(os.path.join(at, "HEAD")) and os.path.isdir(os.path.join(at, "objects")) else None
 
@@ -30,7 +31,7 @@ def discover(path: str, fmt: str) -> list[tuple[str, str]]:
         return real == root or real.startswith(root + os.sep)
 
     def look(folder: str, depth: int) -> None:
-        if git_dir := _git_dir(folder, fmt):
+        if git_dir := git_dir_of(folder, fmt):
             found.append((folder, git_dir))
         elif depth < 2:
             for entry in os.scandir(folder):

@@ -17,7 +17,8 @@ def id_of_url(url: str) -> str | None:
         parts = urlsplit(url)
     except ValueError:
         return None
-    return f"{parts.hostname}{parts.path}" if parts.scheme and parts.hostname else None
+    host = parts.netloc.rpartition("@")[2].split(":")[0]  # as it is written, as in functions.scalar
+    return f"{host}{parts.path}" if parts.scheme and host else None
 
 
 def id_of_urls(urls: list[str]) -> str | None:

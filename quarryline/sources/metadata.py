@@ -1,12 +1,15 @@
 """Snapshots of the metadata as Parquet: written once from the repositories, then read by ordinary scans and joins.
 
 commits keep no reference columns and tree_entries no repository columns, each row once; repository_has_commits links commits
-with references, and reading joins them back. Every table can be read alone.
+with references, and reading joins them back. Every table can be read alone. A snapshot is written to a folder of its own and
+becomes the current one by the rename of a small file, so that readers see either all of the old tables or all of the new ones.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +19,34 @@ from ..schemas import SCHEMAS
 TABLES = ("repositories", "references", "commits", "repository_has_commits", "tree_entries")
 #: The column by which a table's files are sorted, so that filters on it skip row groups.
 SORTED = {"repositories": "id", "references": "repository_id", "commits": "hash", "repository_has_commits": "repository_id", "tree_entries": "commit_hash"}
+#: The file that names the current snapshot's folder.
+CURRENT = "CURRENT"
 
 
-def save(table: Callable[[str], DataFrame], path: str, name: str = "metadata") -> str:
-    """Write the five tables below path/name, replacing what is there; the folder written to."""
-    target = f"{path.rstrip('/')}/{name}"
-    commits = table("commits")
+def _files(spark: SparkSession, root: str) -> tuple[Any, Callable[[str], Any]]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = lambda name: path(f"{root}/{name}")
+    return at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _current(spark: SparkSession, root: str) -> str | None:
+    fs, at = _files(spark, root)
+    if not fs.exists(at(CURRENT)):
+        return None
+    stream = fs.open(at(CURRENT))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def save(spark: SparkSession, table: Callable[[str], DataFrame], path: str, name: str = "metadata") -> str:
+    """Write the five tables as the current snapshot below path/name, in place of the one before; the folder written to."""
+    root, folder = f"{path.rstrip('/')}/{name}", f"snapshot-{uuid.uuid4().hex}"
+    fs, at = _files(spark, root)
+    target = f"{root}/{folder}"
+    table("commits").write.parquet(f"{target}/walked")  # the repositories' logs are walked once for both tables
+    commits = spark.read.parquet(f"{target}/walked")
     frames = {
         "repositories": table("repositories"),
         "references": table("references"),
@@ -30,13 +55,30 @@ def save(table: Callable[[str], DataFrame], path: str, name: str = "metadata") -
         "tree_entries": table("tree_entries").select("commit_hash", "path", "blob").distinct(),
     }
     for key in TABLES:
-        frames[key].sortWithinPartitions(SORTED[key]).write.mode("overwrite").parquet(f"{target}/{key}")
+        frames[key].sortWithinPartitions(SORTED[key]).write.parquet(f"{target}/{key}")
+    fs.delete(at(f"{folder}/walked"), True)
+
+    before, draft = _current(spark, root), f".{CURRENT}-{uuid.uuid4().hex}"
+    stream = fs.create(at(draft), False)
+    try:
+        stream.write(bytearray(folder.encode()))
+    finally:
+        stream.close()
+    if before:
+        fs.delete(at(CURRENT), False)
+    fs.rename(at(draft), at(CURRENT))
+    if before:
+        fs.delete(at(before), True)
     return target
 
 
 def load(spark: SparkSession, path: str, name: str = "metadata") -> dict[str, DataFrame]:
-    """The first four levels in their full schemas."""
-    read = lambda key: spark.read.parquet(f"{path.rstrip('/')}/{name}/{key}")
+    """The first four levels of the current snapshot in their full schemas."""
+    root = f"{path.rstrip('/')}/{name}"
+    folder = _current(spark, root)
+    if folder is None:
+        raise ValueError(f"{root} holds no snapshot")
+    read = lambda key: spark.read.parquet(f"{root}/{folder}/{key}")
     links = read("repository_has_commits")
     columns = lambda key: [F.col(f"`{c}`") for c in SCHEMAS[key].names]
     entries = read("tree_entries").join(links.select(F.col("hash").alias("commit_hash"), "repository_id", "reference_name").distinct(), "commit_hash")

@@ -1,13 +1,15 @@
-"""One repository read through the git command: references, commits, tree entries and blobs as plain rows.
+"""One repository read through the git command: references, logs, trees and blobs as plain rows.
 
 Repositories are untrusted: neither system nor user configuration is read, no hook, filter or pager runs, and of a
-repository's own configuration only remote.* is used.
+repository's own configuration only remote.* is used. Logs are read from a pipe as they come; trees and blobs come from one
+process for all objects, and a tree that many commits share is parsed once while it's among the last MEMO ones.
 """
 
 from __future__ import annotations
 
 import os
 import subprocess
+from collections import OrderedDict
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from typing import Any
@@ -18,6 +20,9 @@ from .identity import id_of_urls, parse_reference
 MOST_BYTES = 20 << 20
 #: Bytes in which a zero byte makes a blob binary.
 SNIFFED = 8000
+#: Parsed trees that are kept.
+MEMO = 20_000
+_FORMAT = "--format=%H%n%P%n%ae%n%an%n%at%n%ce%n%cn%n%ct%n%B"
 
 
 class RepositoryError(RuntimeError):
@@ -32,9 +37,11 @@ class Repository:
 
     def __init__(self, path: str, git_dir: str):
         self.path, self.git_dir = path, git_dir
+        self._batch: subprocess.Popen | None = None
+        self._width = 20
+        self._trees: OrderedDict[str, list[tuple[str, bool, str]]] = OrderedDict()
         self.urls, self.forks = self._remotes()
         self.remotes = {name: i for name, urls in self.urls.items() if (i := id_of_urls(urls))}
-        self._batch: subprocess.Popen | None = None
 
     def __enter__(self) -> Repository:
         return self
@@ -46,16 +53,20 @@ class Repository:
             self._batch.wait()
             self._batch = None
 
-    def _command(self, *args: str) -> tuple[list[str], dict[str, str]]:
+    def error(self, why: str) -> RepositoryError:
+        return RepositoryError(self.path, sum(getattr(self, "urls", {}).values(), []), why)
+
+    def _start(self, *args: str, **pipes: Any) -> subprocess.Popen:
         env = {"PATH": os.environ.get("PATH", ""), "GIT_CONFIG_NOSYSTEM": "1", "GIT_CONFIG_GLOBAL": os.devnull, "GIT_OPTIONAL_LOCKS": "0", "GIT_TERMINAL_PROMPT": "0", "LC_ALL": "C"}
-        return ["git", "--no-pager", "-c", "safe.directory=*", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null", f"--git-dir={self.git_dir}", *args], env
+        command = ["git", "--no-pager", "-c", "safe.directory=*", "-c", "core.fsmonitor=false", "-c", "core.hooksPath=/dev/null", f"--git-dir={self.git_dir}", *args]
+        return subprocess.Popen(command, env=env, stdout=subprocess.PIPE, **pipes)
 
     def _run(self, *args: str, ok: tuple[int, ...] = (0,)) -> bytes:
-        command, env = self._command(*args)
-        done = subprocess.run(command, env=env, capture_output=True)
-        if done.returncode not in ok:
-            raise RepositoryError(self.path, sum(getattr(self, "urls", {}).values(), []), done.stderr.decode("utf-8", "replace").strip())
-        return done.stdout
+        process = self._start(*args, stderr=subprocess.PIPE)
+        out, err = process.communicate()
+        if process.returncode not in ok:
+            raise self.error(err.decode("utf-8", "replace").strip())
+        return out
 
     def _remotes(self) -> tuple[dict[str, list[str]], dict[str, bool]]:
         urls: dict[str, list[str]] = {}
@@ -70,8 +81,8 @@ class Repository:
                     forks[name] = value.lower() in ("true", "1", "yes", "on")
         return urls, forks
 
-    def all_references(self) -> list[dict[str, Any]]:
-        """References with their peeled hashes, HEAD included, and the name git knows them by."""
+    def references(self) -> list[dict[str, Any]]:
+        """References with their peeled hashes, HEAD included."""
         rows = []
         head = self._run("rev-parse", "--verify", "-q", "HEAD", ok=(0, 1)).decode().strip()
         found = [("HEAD", head)] if head else []
@@ -83,58 +94,102 @@ class Repository:
             rows.append({"repository_id": repository_id, "name": parsed, "hash": hash_, "is_remote": remote})
         return rows
 
-    def repositories(self) -> Iterator[dict[str, Any]]:
-        ids = dict.fromkeys([*self.remotes.values(), *(r["repository_id"] for r in self.all_references())])
-        for id_ in ids:
+    def repositories(self, references: list[dict[str, Any]]) -> dict[str, dict[str, Any]]:
+        """The repositories that its remotes and references belong to, by their ids."""
+        rows = {}
+        for id_ in dict.fromkeys([*self.remotes.values(), *(r["repository_id"] for r in references)]):
             name = next((n for n, i in self.remotes.items() if i == id_), None)
-            yield {"id": id_, "urls": self.urls.get(name, []), "is_fork": self.forks.get(name, False), "repository_path": self.path}
+            rows[id_] = {"id": id_, "urls": self.urls.get(name, []), "is_fork": self.forks.get(name, False), "repository_path": self.path}
+        return rows
 
-    def commits(self, reference: dict[str, Any], tip_only: bool = False) -> Iterator[dict[str, Any]]:
-        """The log of a reference from its tip; nothing if it leads to no commit."""
-        kind = self._run("cat-file", "-t", reference["hash"], ok=(0, 1, 128)).decode().strip()
-        if kind != "commit":
+    def log(self, tip: str, most: int | None = None) -> Iterator[dict[str, Any]]:
+        """The commits that lead to a tip, the newest first, at most so many; none if the tip is no commit."""
+        if most == 0 or self._kind(tip) != "commit":
             return
-        limit = ["-n", "1"] if tip_only else []
-        log = self._run("log", "-z", *limit, "--no-show-signature", "--no-notes", "--encoding=UTF-8", "--format=%H%n%P%n%ae%n%an%n%at%n%ce%n%cn%n%ct%n%B", reference["hash"], "--")
-        for index, entry in enumerate(x for x in log.decode("utf-8", "replace").split("\0") if x):
-            hash_, parents, ae, an, at, ce, cn, ct, message = entry.split("\n", 8)
-            own = parents.split()
-            yield {
-                "repository_id": reference["repository_id"], "reference_name": reference["name"], "index": index, "hash": hash_, "message": message[:-1] if message.endswith("\n\n") else message, "parents": own, "parents_count": len(own),
-                "author_email": ae, "author_name": an, "author_date": datetime.fromtimestamp(int(at), UTC), "committer_email": ce, "committer_name": cn, "committer_date": datetime.fromtimestamp(int(ct), UTC),
-            }
-
-    def tree_entries(self, commit: dict[str, Any]) -> Iterator[dict[str, Any]]:
-        """Files, links and submodules of a commit with their paths from the root."""
-        listing = self._run("ls-tree", "-r", "-z", "--full-tree", commit["hash"]).decode("utf-8", "replace")
-        for entry in listing.split("\0"):
-            if entry:
-                about, path = entry.split("\t", 1)
-                yield {"commit_hash": commit["hash"], "repository_id": commit["repository_id"], "reference_name": commit["reference_name"], "path": path, "blob": about.split(" ")[2]}
-
-    def content(self, blob: str) -> bytes | None:
-        """Up to MOST_BYTES of a blob; None if the object is missing or no blob."""
+        limit = [] if most is None else ["-n", str(most)]
+        process = self._start("log", "-z", *limit, "--no-show-signature", "--no-notes", "--encoding=UTF-8", _FORMAT, tip, "--", stderr=subprocess.PIPE)
+        rest = b""
+        try:
+            while chunk := process.stdout.read1(1 << 20):
+                *whole, rest = (rest + chunk).split(b"\0")
+                yield from (_commit(x) for x in whole if x)
+            if rest:
+                yield _commit(rest)
+            why = process.stderr.read().decode("utf-8", "replace").strip()
+            if process.wait():
+                raise self.error(why)
+        finally:
+            process.stdout.close()
+            process.stderr.close()
+            process.wait()
+
+    def _read(self, name: str, most: int | None = None) -> tuple[str, bytes] | None:
+        """(kind, content) of an object, None if it's missing."""
         if self._batch is None:
-            command, env = self._command("cat-file", "--batch")
-            self._batch = subprocess.Popen(command, env=env, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
-        self._batch.stdin.write(blob.encode() + b"\n")
+            self._batch = self._start("cat-file", "--batch", stdin=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        self._batch.stdin.write(name.encode() + b"\n")
         self._batch.stdin.flush()
         about = self._batch.stdout.readline().split()
-        if len(about) < 3 or about[-1] == b"missing":
+        if not about:
+            self._batch = None
+            raise self.error(f"object {name} can't be read")
+        if len(about) != 3 or not about[2].isdigit():
             return None
+        self._width = len(about[0]) // 2  # bytes of a hash
         size = int(about[2])
-        data = self._batch.stdout.read(min(size, MOST_BYTES))
+        data = self._batch.stdout.read(size if most is None else min(size, most))
         for at in range(len(data), size + 1, 1 << 20):  # the rest and the closing line end
             self._batch.stdout.read(min(1 << 20, size + 1 - at))
-        return data if about[1] == b"blob" else None
-
-
-def blob_row(repository: Repository, entry: dict[str, Any]) -> dict[str, Any] | None:
-    """A blob of a tree entry, its content blank if binary."""
-    data = repository.content(entry["blob"])
-    if data is None:
-        return None
-    binary = b"\0" in data[:SNIFFED]
-    return {"blob_id": entry["blob"], "commit_hash": entry["commit_hash"], "repository_id": entry["repository_id"], "reference_name": entry["reference_name"], "content": b"" if binary else data, "is_binary": binary}
+        return about[1].decode(), data
+
+    def _kind(self, name: str) -> str | None:
+        found = self._read(name, 0)
+        return found and found[0]
+
+    def _tree(self, name: str) -> list[tuple[str, bool, str]]:
+        """(name, is a tree, hash) of what a tree holds."""
+        if name in self._trees:
+            self._trees.move_to_end(name)
+            return self._trees[name]
+        found = self._read(name)
+        if found is None or found[0] != "tree":
+            raise self.error(f"tree {name} is missing")
+        data, at, entries = found[1], 0, []
+        while at < len(data):
+            space, end = data.index(b" ", at), data.index(b"\0", at)
+            entries.append((data[space + 1 : end].decode("utf-8", "replace"), data[at:space] == b"40000", data[end + 1 : end + 1 + self._width].hex()))
+            at = end + 1 + self._width
+        self._trees[name] = entries
+        if len(self._trees) > MEMO:
+            self._trees.popitem(last=False)
+        return entries
+
+    def entries(self, commit: str) -> Iterator[tuple[str, str]]:
+        """(path, hash) of the files, links and submodules of a commit, with paths from the root."""
+        open_ = [("", iter(self._tree(f"{commit}^{{tree}}")))]
+        while open_:
+            folder, rest = open_[-1]
+            for name, is_tree, hash_ in rest:
+                if is_tree:
+                    open_.append((f"{folder}{name}/", iter(self._tree(hash_))))
+                    break
+                yield folder + name, hash_
+            else:
+                open_.pop()
+
+    def blob(self, hash_: str) -> dict[str, Any] | None:
+        """content (up to MOST_BYTES, blank if binary) and is_binary; None if the object is missing or no blob."""
+        found = self._read(hash_, MOST_BYTES)
+        if found is None or found[0] != "blob":
+            return None
+        binary = b"\0" in found[1][:SNIFFED]
+        return {"content": b"" if binary else found[1], "is_binary": binary}
 
 
+def _commit(entry: bytes) -> dict[str, Any]:
+    hash_, parents, ae, an, at, ce, cn, ct, message = entry.decode("utf-8", "replace").split("\n", 8)
+    own = parents.split()
+    return {
+        "hash": hash_, "message": message[:-1] if message.endswith("\n\n") else message, "parents": own, "parents_count": len(own),
+        "author_email": ae, "author_name": an, "author_date": datetime.fromtimestamp(int(at), UTC), "committer_email": ce, "committer_name": cn, "committer_date": datetime.fromtimestamp(int(ct), UTC),
+    }

@@ -64,7 +64,7 @@ def repositories(tmp_path_factory):
     """Two working clones, one of them a bucket folder down, and one bare repository in a folder of its own."""
     root = tmp_path_factory.mktemp("git")
     one = Git(root / "standard" / "one")
-    one.commit("first", a_dot_py=b"with open('somefile.txt') as f: contents=f.read()\n", doc__readme_dot_md=b"# hi\n")
+    one.commit("first", a_dot_py=b"import json\nwith open(path) as source:\n    rows = json.load(source)\n", doc__readme_dot_md=b"# hi\n")
     one.commit("fix: second\n\nbody", bin__data=b"\x00\x01\x02", **{"ünïcode_dot_txt": "é".encode()}, empty=b"")
     one("branch", "side")
     one.commit("third", a_dot_py=b"print(1)\n")

@@ -40,7 +40,7 @@ def test_discovery(repositories):
 def test_identity():
     assert identity.id_of_url("git@github.com:git/repo.git") == "github.com/git/repo"
     assert identity.id_of_url("https://github.com/git/repo.git") == "github.com/git/repo.git"
-    assert identity.id_of_url("nonsense") is None
+    assert identity.id_of_url("nonsense") is None and identity.id_of_url("https://me@GitHub.com:443/A/b") == "GitHub.com/A/b"
     assert identity.id_of_urls(["https://b.com/x", "https://a.com/x", "?"]) == "a.com/x"
     remotes = {"0168e2c7": "a.com/x", "origin": "b.com/y"}
     assert identity.parse_reference("refs/heads/dev/0168e2c7", remotes, "/r/.git") == ("a.com/x", "refs/heads/dev", True)
@@ -105,7 +105,7 @@ def test_blobs_by_ids(backend, repositories):
         backend.blobs("x")
 
 
-@pytest.mark.parametrize("condition", ["index = 0", "hash IN ({0}, {1})", "NOT (index = 0 AND parents_count = 1)", "reference_name = 'HEAD' OR index > 2", "reference_name <=> 'HEAD'", "message LIKE '%fix%'", "index < 2 AND parents_count >= 1"])
+@pytest.mark.parametrize("condition", ["index = 0", "hash IN ({0}, {1})", "NOT (index = 0 AND parents_count = 1)", "reference_name = 'HEAD' OR index > 2", "reference_name <=> 'HEAD'", "message LIKE '%fix%'", "index < 2 AND parents_count >= 1", "index <= 1", "index < 0", "index IN (1, 3)", "index <= 2 AND index < 2 AND hash IS NOT NULL"])
 def test_pushed_filters_change_nothing(condition, engine, repositories):
     hashes = [f"'{h}'" for h in repositories[1]("rev-list", "master").split()[:2]]
     commits = engine.table("commits")
@@ -142,6 +142,112 @@ def test_errors(spark, tmp_path, repositories):
         broken.save_metadata(str(tmp_path / "missing"))
 
 
+def test_errors_end_only_what_they_belong_to(spark, tmp_path, repositories):
+    """Without the tree of one commit, the other commits of its reference stay, and so do the other references."""
+    import shutil
+
+    one = repositories[1]
+    shutil.copytree(repositories[0] / "standard/one", tmp_path / "one")
+    log = one("rev-list", "master").split()
+    tree = one("rev-parse", f"{log[2]}^{{tree}}")
+    (tmp_path / "one/.git/objects" / tree[:2] / tree[2:]).unlink()
+    broken = Engine(spark, str(tmp_path), skip_read_errors=True)
+    entries = broken.repositories.references.ref("refs/heads/master").all_reference_commits.tree_entries
+    lost = {h for h in log if one("rev-parse", f"{h}^{{tree}}") == tree}
+    assert {r["commit_hash"] for r in entries.select("commit_hash").distinct().collect()} == set(log) - lost and 0 < len(lost) < len(log)
+    assert broken.repositories.references.all_reference_commits.count() == Engine(spark, str(repositories[0] / "standard")).repositories.references.all_reference_commits.filter(F.col("repository_id").endswith("/one")).count()
+
+    blob = one("rev-parse", "master:doc/readme.md")
+    (tmp_path / "one/.git/objects" / blob[:2] / blob[2:]).unlink()
+    paths = {r["path"] for r in broken.repositories.references.ref("refs/heads/master").blobs.collect()}
+    assert "doc/readme.md" not in paths and "a.py" in paths  # a blob that is missing has no row
+    with pytest.raises(Exception, match="is missing"):
+        Engine(spark, str(tmp_path)).table("tree_entries").count()
+
+
+def test_union_keeps_every_commit_reachable(backend):
+    """Entries of newest commits together with older ones, on both backends."""
+    references = backend.repositories.filter(F.col("id").startswith("file") & F.col("id").endswith("/one")).references.ref("refs/heads/master")
+    newest, every = references.commits, references.all_reference_commits
+    older = every.filter("index > 0")
+    want = every.tree_entries.count()
+    assert newest.tree_entries.count() < want
+    assert newest.union(older).tree_entries.count() == newest.unionByName(older).tree_entries.count() == older.unionAll(newest).tree_entries.count() == want
+    assert newest.union(older.df).tree_entries.count() == newest.transform(lambda d: d.union(older.df)).tree_entries.count() == want
+    assert newest.union(newest).distinct().tree_entries.count() == newest.tree_entries.count()
+    side = backend.repositories.references.ref("refs/heads/side").commits
+    both = newest.union(side).all_reference_commits
+    assert {r["reference_name"] for r in both.collect()} == {"refs/heads/master", "refs/heads/side"} and both.count() == every.count() + side.all_reference_commits.count()
+    entries = newest.tree_entries.union(older.tree_entries)
+    assert entries.blobs.select("commit_hash").distinct().count() == every.count()
+
+
+def scans(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("RelationV2")
+
+
+def test_a_filtered_chain_is_one_scan(engine, repositories):
+    """Conditions on several levels in one scan, with the rows that joins give."""
+    def chain(f):
+        repos = f(engine.repositories).filter("NOT is_fork").filter(F.col("id").startswith("file"))
+        refs = repos.references.filter(~F.col("is_remote")).where("name LIKE 'refs/heads/%'")
+        commits = refs.all_reference_commits.filter("index < 3").filter(F.col("parents_count") < 2)
+        return [repos.references, refs.ref("refs/heads/master"), refs.commits, commits, commits.tree_entries, commits.tree_entries.filter("path LIKE '%.py'").blobs, refs.blobs, repos.head_ref.commits.tree_entries]
+
+    plain = chain(lambda r: r.hint("broadcast"))  # no longer only filtered: joins
+    for one, joined in zip(chain(lambda r: r), plain, strict=True):
+        assert scans(one) == 1 < scans(joined) or one.columns == ["id", "urls", "is_fork", "repository_path"]
+        assert one.columns == joined.columns and sorted(map(str, one.collect())) == sorted(map(str, joined.collect())) != []
+    refs = engine.repositories.references
+    bound = refs.filter(refs["name"] == "HEAD").commits  # a condition that belongs to one frame
+    assert {r["reference_name"] for r in bound.collect()} == {"HEAD"}
+
+
+def test_splits_and_session_configuration(spark, repositories, tmp_path):
+    path = str(repositories[0] / "standard")
+    whole = Engine(spark, path)
+    split = Engine(spark, path, splits=3)
+    for level in ("repositories", "references", "commits", "tree_entries", "blobs"):
+        rows = lambda e: sorted(map(str, e.table(level).collect()))  # noqa: E731, B023
+        assert rows(split) == rows(whole)
+    assert split.table("commits").rdd.getNumPartitions() == 3 * whole.table("commits").rdd.getNumPartitions()
+    spark.conf.set("quarryline.repository.format", "bare")
+    spark.conf.set("quarryline.read.errors.skip", "true")
+    try:
+        told = Engine(spark, str(repositories[0] / "bare"))
+        assert told.format == "bare" and told._skip_read_errors and not Engine(spark, path, "standard", skip_read_errors=False)._skip_read_errors
+        assert told.repositories.count() == 1
+    finally:
+        spark.conf.unset("quarryline.repository.format")
+        spark.conf.unset("quarryline.read.errors.skip")
+
+
+def test_large_blobs_are_cut(tmp_path, repositories):
+    from quarryline.sources import repository as r
+    from tests.conftest import Git
+
+    git = Git(tmp_path / "large")
+    data = bytes(range(1, 256)) * (r.MOST_BYTES // 255 + 5000)
+    git.commit("large", data=data, zero=b"x" * r.SNIFFED + b"\0", early=b"x" * (r.SNIFFED - 1) + b"\0")
+    with r.Repository(str(tmp_path / "large"), str(tmp_path / "large/.git")) as found:
+        hashes = dict(found.entries("HEAD"))
+        assert found.blob(hashes["data"]) == {"content": data[: r.MOST_BYTES], "is_binary": False}
+        assert not found.blob(hashes["zero"])["is_binary"] and found.blob(hashes["early"]) == {"content": b"", "is_binary": True}
+        assert found.blob("0" * 40) is None and found.blob(hashes["zero"])["content"] == b"x" * r.SNIFFED + b"\0"
+
+
+def test_snapshots_are_switched_as_a_whole(spark, repositories, tmp_path):
+    engine = Engine(spark, str(repositories[0] / "standard"))
+    first = engine.save_metadata(str(tmp_path))
+    second = engine.save_metadata(str(tmp_path))
+    assert first != second and len([p for p in (tmp_path / "metadata").iterdir() if p.name.startswith("snapshot")]) == 1
+    n = engine.table("commits").count()
+    assert engine.from_metadata(str(tmp_path)).table("commits").count() == n
+    engine.from_repositories()
+    with pytest.raises(ValueError, match="no snapshot"):
+        engine.from_metadata(str(tmp_path), "other")
+
+
 def test_frames_keep_their_verbs(engine):
     refs = engine.repositories.references
     for frame in (refs.filter("is_remote"), refs.sort("name"), refs.limit(3), refs.distinct(), refs.union(refs), refs.alias("x"), refs.where("true"), refs.withColumn("k", F.lit(1)), refs.sample(0.5), refs.hint("broadcast"), refs.dropDuplicates(["name"])):
@@ -157,6 +263,6 @@ def test_languages_and_trees(engine):
     assert lang["a.py"] == "Python" and lang["b.rb"] == "Ruby" and lang["doc/readme.md"] == "Markdown" and lang["bin/data"] is None
     found = tips.classify_languages().extract_uasts().query_uast("//*[@roleIdentifier and not(@roleIncomplete)]").extract_tokens()
     tokens = {r["path"]: r["tokens"] for r in found.collect()}
-    assert sorted(tokens["a.py"]) == sorted(["contents", "read", "f", "open", "f"]) and tokens["b.rb"] == [] and tokens["doc/readme.md"] == []
+    assert sorted(tokens["a.py"]) == sorted(["json", "open", "path", "source", "rows", "load", "json", "source"]) and tokens["b.rb"] == [] and tokens["doc/readme.md"] == []
     with pytest.raises(ValueError, match="already has"):
         found.query_uast("//*")
