@@ -2,15 +2,19 @@
 
 A tree is XML in UTF-8: an element per node, named by its type, with attributes internalType, token, startPosition and one
 role<Name> for each role. Python is read by the standard ast module, HTML by html.parser; other languages give no tree.
-The functions are Arrow UDFs: parsing a file has no built-in counterpart, and batches cross to Python in columns.
+The functions are Arrow UDFs: parsing a file has no built-in counterpart, and batches cross to Python in columns. Trees are built
+and written without recursion where their depth is the file's choice, so nesting is kept however deep; Python source nested deeper than
+its own parser allows gives no tree.
 """
 
 from __future__ import annotations
 
 import ast
+import html
 import re
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import lru_cache
 from html.parser import HTMLParser
 from xml.etree import ElementTree as ET
 
@@ -65,7 +69,7 @@ class _Html(HTMLParser):
         for key, value in attrs:
             node.append(_element("attribute", f"{key}={value or ''}", ("Literal",)))
         self.open[-1].append(node)
-        if tag not in _VOID and len(self.open) < 200:
+        if tag not in _VOID:
             self.open.append(node)
 
     def handle_endtag(self, tag: str) -> None:
@@ -86,6 +90,28 @@ def _html(source: str) -> ET.Element:
     return parser.open[0]
 
 
+_ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "\r": "&#13;", "\n": "&#10;", "\t": "&#09;"})
+
+
+def serialized(root: ET.Element) -> bytes:
+    """A tree as XML; its elements hold attributes and elements only."""
+    out, open_ = [], [(root, None)]
+    while open_:
+        node, rest = open_.pop()
+        if rest is None:
+            attributes = "".join(f' {k}="{v.translate(_ESCAPES)}"' for k, v in node.items())
+            out.append(f"<{node.tag}{attributes}>" if len(node) else f"<{node.tag}{attributes}/>")
+            if not len(node):
+                continue
+            rest = iter(node)
+        child = next(rest, None)
+        if child is None:
+            out.append(f"</{node.tag}>")
+        else:
+            open_ += (node, rest), (child, None)
+    return "".join(out).encode()
+
+
 PARSERS: dict[str, Callable[[str], ET.Element]] = {"python": _python, "html": _html}
 
 
@@ -101,7 +127,7 @@ def parse(path: str | None, content: bytes | None, lang: str | None) -> list[byt
     if parser is None:
         return []
     try:
-        return [ET.tostring(parser(bytes(content).decode("utf-8")), encoding="utf-8")]
+        return [serialized(parser(bytes(content).decode("utf-8")))]
     except (SyntaxError, ValueError, RecursionError, MemoryError, ET.ParseError):
         return []
 
@@ -112,45 +138,70 @@ def parse_uast_node(node: bytes) -> ET.Element:
 
 
 _STEP = re.compile(r"(//?)([\w.-]+|\*)((?:\[[^\]]*\])*)")
-_TERM = re.compile(r"@([\w.-]+)(?:\s*=\s*(?:'([^']*)'|\"([^\"]*)\"))?")
-_LOGIC = re.compile(r"\s*(not\s*\(|\(|\)|and\b|or\b|@[\w.-]+(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"))?)\s*")
+_TEST = re.compile(r"\s*(not\s*\(|[()]|and\b|or\b|@([\w.-]+)(?:\s*=\s*(?:'([^']*)'|\"([^\"]*)\"))?)\s*")
+_TOKEN = re.compile(rb'<[^>]*?\stoken="([^"]*)"')
+Test = Callable[[ET.Element], bool]
 
 
-def _condition(text: str) -> Callable[[ET.Element], bool]:
+def _condition(text: str) -> Test:
     """A predicate of attribute tests joined by and, or and not(...)."""
-    tests: list[tuple[str, str | None]] = []
     words, at = [], 0
     while at < len(text):
-        m = _LOGIC.match(text, at)
+        m = _TEST.match(text, at)
         if not m:
             raise ValueError(f"unsupported predicate [{text}]")
-        word, at = m[1], m.end()
-        if word.startswith("@"):
-            name, *value = _TERM.fullmatch(word).groups()
-            words.append(f"t[{len(tests)}]")
-            tests.append((name, value[0] if value[0] is not None else value[1]))
-        else:
-            words.append("not (" if word.startswith("not") else word)
-    code = compile(" ".join(words), "predicate", "eval")  # only t[i], and, or, not and brackets
-    return lambda node: bool(eval(code, {"__builtins__": {}, "t": [node.get(k) is not None if v is None else node.get(k) == v for k, v in tests]}))
+        words.append((m[1].split("(")[0].strip() + "(" if m[1].endswith("(") else m[1], m[2], m[3] if m[3] is not None else m[4]))
+        at = m.end()
+    words.reverse()
+
+    def one() -> Test:
+        word, name, value = words.pop() if words else ("", None, None)
+        if word in ("not(", "("):
+            inner = some()
+            if not words or words.pop()[0] != ")":
+                raise ValueError(f"unsupported predicate [{text}]")
+            return (lambda node: not inner(node)) if word == "not(" else inner
+        if name is None:
+            raise ValueError(f"unsupported predicate [{text}]")
+        return (lambda node: node.get(name) is not None) if value is None else (lambda node: node.get(name) == value)
 
+    def joined(sign: str, part: Callable[[], Test], of: Callable[[list[bool]], bool]) -> Test:
+        parts = [part()]
+        while words and words[-1][0] == sign:
+            words.pop()
+            parts.append(part())
+        return parts[0] if len(parts) == 1 else lambda node: of(p(node) for p in parts)
 
-def xpath(node: ET.Element, query: str) -> list[ET.Element]:
-    """The elements that a path of / and // steps with attribute predicates selects, in document order."""
+    some = lambda: joined("or", lambda: joined("and", one, all), any)
+    test = some()
+    if words:
+        raise ValueError(f"unsupported predicate [{text}]")
+    return test
+
+
+@lru_cache(maxsize=128)
+def _steps(query: str) -> list[tuple[str, str, list[Test]]]:
+    """(axis, name, predicates) of each step of a path."""
     steps = _STEP.findall(query)
-    if "".join("".join(s) for s in steps) != query:
+    if not steps or "".join("".join(s) for s in steps) != query:
         raise ValueError(f"unsupported XPath {query!r}")
+    return [(axis, name, [_condition(p) for p in re.findall(r"\[([^\]]*)\]", predicates)]) for axis, name, predicates in steps]
+
+
+def xpath(node: ET.Element, query: str) -> list[ET.Element]:
+    """The elements that a path of / and // steps with attribute predicates selects, in document order."""
     above = ET.Element("root")
     above.append(node)
     found = [above]
-    for axis, name, predicates in steps:
-        tests = [_condition(p) for p in re.findall(r"\[([^\]]*)\]", predicates)]
+    for axis, name, tests in _steps(query):
         seen: dict[int, ET.Element] = {}
         for base in found:
             for x in (d for d in base.iter() if d is not base) if axis == "//" else base:
                 if name in ("*", x.tag) and all(t(x) for t in tests):
                     seen.setdefault(id(x), x)
         found = list(seen.values())
+    if len(found) < 2:
+        return found
     order = {id(x): i for i, x in enumerate(above.iter())}
     return sorted(found, key=lambda x: order[id(x)])
 
@@ -158,12 +209,12 @@ def xpath(node: ET.Element, query: str) -> list[ET.Element]:
 def query_nodes(nodes: list[bytes] | None, query: str | None) -> list[bytes] | None:
     if nodes is None or query is None:
         return None
-    return [ET.tostring(x, encoding="utf-8") for n in nodes for x in xpath(ET.fromstring(n), query)]
+    return [serialized(x) for n in nodes for x in xpath(ET.fromstring(n), query)]
 
 
 def node_tokens(nodes: list[bytes] | None) -> list[str]:
-    """One token per node, empty where a node has none."""
-    return [ET.fromstring(n).get("token", "") for n in nodes or []]
+    """One token per node, empty where a node has none: the attribute in the node's own first tag."""
+    return [html.unescape(m[1].decode()) if (m := _TOKEN.match(n)) else "" for n in nodes or []]
 
 
 def _columns(f: Callable, kind: pa.DataType) -> Callable[..., pa.Array]:
@@ -226,7 +277,3 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("queryXPath", F.arrow_udf(_query, "array<binary>"))
     spark.udf.register("extractTokens", F.arrow_udf(_tokens, "array<string>"))
 
-
-def documents(rows: DataFrame) -> Iterator[ET.Element]:
-    """The nodes of a column of trees on the client, read row by row."""
-    return (parse_uast_node(n) for row in rows.toLocalIterator() for n in row[0] or [])

@@ -8,9 +8,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import languages, scalar, uast
+from ..functions import languages, scalar
 from ..operators import verbs
 from ..operators.frames import BlobsFrame, CommitsFrame, ReferencesFrame, RepositoriesFrame, TreeEntriesFrame, count_by
+from ..sources import metadata
 from .mapping import CTE, Levels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,8 @@ REF = ["repository_id", "name", "hash", "is_remote"]
 COMMIT = ["repository_id", "reference_name", "index", "hash", "message", "parents_count"]
 ENTRY = ["commit_hash", "repository_id", "reference_name", "path", "blob"]
 # Names in the synthetic tables that the queries ask for.
-SEGMENT, MASTER_SEGMENT, NATION = "BUILDING", "MACHINERY", "NATION_3"
+SEGMENT, MASTER_SEGMENT = "BUILDING", "MACHINERY"
+NATIONS, HASHES = ["NATION_3", "NATION_7", "NATION_11"], [str(k) for k in range(1, 1500, 9)]
 
 
 def query(sql: str | None = None, levels: bool = True) -> Callable:
@@ -101,20 +103,23 @@ def commit_index(t: Levels):
     return t.table("commits").select("hash", "index", F.date_format("author_date", "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT e.commit_hash, e.repository_id, e.reference_name, path, blob FROM tree_entries e JOIN commits c ON e.commit_hash = c.hash AND e.repository_id = c.repository_id AND e.reference_name = c.reference_name WHERE index < 2")
+@query("SELECT e.commit_hash, e.repository_id, e.reference_name, path, blob FROM tree_entries e JOIN commits c ON e.commit_hash = c.hash AND e.repository_id = c.repository_id AND e.reference_name = c.reference_name")
 def tree_entries_of_commits(t: Levels):
-    return _repositories(t).references.all_reference_commits.filter("index < 2").tree_entries.select(*ENTRY)
+    return _repositories(t).references.all_reference_commits.tree_entries.select(*ENTRY)
 
 
-@query(f"SELECT blob AS blob_id, commit_hash, repository_id, reference_name, path, content, is_binary FROM tree_entries JOIN contents ON blob = blob_id WHERE repository_id = '{NATION}'")
+@query("SELECT blob AS blob_id, commit_hash, repository_id, reference_name, path, content, is_binary FROM tree_entries JOIN contents ON blob = blob_id")
 def blobs_of_tree_entries(t: Levels):
-    entries = TreeEntriesFrame(t.table("tree_entries"), t).filter(F.col("repository_id") == NATION)
-    return entries.blobs.select("blob_id", "commit_hash", "repository_id", "reference_name", "path", _text("content"), "is_binary")
+    return TreeEntriesFrame(t.table("tree_entries"), t).blobs.select("blob_id", "commit_hash", "repository_id", "reference_name", "path", _text("content"), "is_binary")
 
 
-@query("SELECT blob AS blob_id, commit_hash, repository_id, reference_name, content FROM tree_entries JOIN contents ON blob = blob_id WHERE repository_id IN ('NATION_3', 'NATION_7', 'NATION_11') AND commit_hash IN (SELECT hash FROM commits WHERE hash LIKE '%7')")
+_LISTED = f"repository_id IN ({', '.join(map(repr, NATIONS))}) AND commit_hash IN ({', '.join(map(repr, HASHES))})"
+
+
+@query(f"SELECT blob AS blob_id, commit_hash, repository_id, reference_name, content FROM tree_entries JOIN contents ON blob = blob_id WHERE {_LISTED}")
 def blobs_by_ids(t: Levels):
-    frame = _repositories(t).filter(F.col("id").isin("NATION_3", "NATION_7", "NATION_11")).references.all_reference_commits.filter(F.col("hash").like("%7"))
+    """Blobs of the listed repositories and commits, which is the feature."""
+    frame = _repositories(t).filter(F.col("id").isin(*NATIONS)).references.all_reference_commits.filter(F.col("hash").isin(*HASHES))
     return frame.blobs.select("blob_id", "commit_hash", "repository_id", "reference_name", _text("content"))
 
 
@@ -177,8 +182,12 @@ def sample_commits(t: Levels):
 
 @query("SELECT repository_id, count(*) AS count FROM refs GROUP BY repository_id")
 def persisted_references(t: Levels):
-    """Kept at a storage level while it is counted."""
-    return _repositories(t).references.persist(StorageLevel.MEMORY_AND_DISK).groupBy("repository_id").count()
+    """Kept at a storage level while it is read twice, and let go."""
+    references = _repositories(t).references.persist(StorageLevel.MEMORY_AND_DISK)
+    empty = references.filter("name IS NULL").count()
+    counts = references.filter(F.lit(empty == 0)).groupBy("repository_id").count()
+    references.unpersist()
+    return counts
 
 
 # --- filters
@@ -256,9 +265,9 @@ def repository_id_from_url(t: Levels):
     return t.source("pages").select("page_id", scalar.repository_id(F.array("url")).alias("repository_id"))
 
 
-@query("SELECT path, upper(md5(path)) AS digest FROM tree_entries WHERE repository_id = 'NATION_11'")
+@query("SELECT path, upper(md5(path)) AS digest FROM tree_entries")
 def md5_path(t: Levels):
-    return t.table("tree_entries").filter("repository_id = 'NATION_11'").select("path", scalar.path_digest(F.col("path")).alias("digest"))
+    return t.table("tree_entries").select("path", scalar.path_digest(F.col("path")).alias("digest"))
 
 
 @query("SELECT hash, message FROM commits WHERE message LIKE '%LOW%'")
@@ -273,18 +282,19 @@ def tokens_contain(t: Levels):
     return parts.join(F.broadcast(first), F.array_contains("tokens", F.col("word"))).select("p_partkey", "p_name")  # one row
 
 
-@query("SELECT doc_id, text AS content FROM documents", levels=False)
+@query("SELECT doc_id, text AS content, strlen(text) AS bytes FROM documents", levels=False)
 def decode_content(t: Levels):
-    return t.source("documents").select("doc_id", F.encode("text", "utf-8").alias("content")).select("doc_id", _text("content"))
+    binary = t.source("documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
+    return binary.select("doc_id", _text("content"), F.octet_length("content").cast("long").alias("bytes"))
 
 
-@query("SELECT doc_id, false AS is_binary, true AS with_zero FROM documents", levels=False)
+@query("SELECT doc_id, doc_id % 4 IN (1, 2) AS is_binary FROM documents", levels=False)
 def binary_sniff(t: Levels):
-    content = F.encode("text", "utf-8")
-    zero = F.concat(F.substring(content, 1, 100), F.lit(b"\x00"))
-    return t.source("documents").select("doc_id", scalar.is_binary(content).alias("is_binary"), scalar.is_binary(zero).alias("with_zero"))
-
-
+    """A zero byte at the start, as the last that is looked at, or right behind it, or none."""
+    k, zero, pad = F.col("doc_id") % 4, F.lit(b"\x00"), F.encode(F.repeat(F.lit("x"), scalar.SNIFFED - 1), "utf-8")
+    text = F.encode("text", "utf-8")
+    content = F.when(k == 1, F.concat(zero, text)).when(k == 2, F.concat(pad, zero, text)).when(k == 3, F.concat(pad, F.lit(b"x"), zero, text)).otherwise(text)
+    return t.source("documents").select("doc_id", scalar.is_binary(content).alias("is_binary"))
 
 
 def _files(t: Levels) -> DataFrame:
@@ -320,7 +330,8 @@ _SOURCE = "'import os\nvalue_' || p_partkey || ' = os.getcwd()\n'"
 
 def _sources(t: Levels) -> BlobsFrame:
     code = F.concat(F.lit("import os\nvalue_"), F.col("p_partkey"), F.lit(" = os.getcwd()\n"))
-    return BlobsFrame(t.source("part").select("p_partkey", F.lit("m.py").alias("path"), F.lit(False).alias("is_binary"), F.encode(code, "utf-8").alias("content")), t)
+    parts = t.source("part").repartition(t.spark.sparkContext.defaultParallelism)  # a file is moved at less cost than parsed, and a small table is one partition
+    return BlobsFrame(parts.select("p_partkey", F.lit("m.py").alias("path"), F.lit(False).alias("is_binary"), F.encode(code, "utf-8").alias("content")), t)
 
 
 @query("SELECT p_partkey, 'os,value_' || p_partkey || ',getcwd,os' AS tokens FROM part", levels=False)
@@ -329,9 +340,15 @@ def extract_tokens(t: Levels):
     return found.select("p_partkey", F.array_join("tokens", ",").alias("tokens"))
 
 
-@query("SELECT p_partkey, 1 AS trees FROM part", levels=False)
+@query("SELECT p_partkey, 1 AS trees, p_size % 4 + 2 AS calls, p_size % 4 + 1 AS assigned, p_brand || ',' || p_type AS texts FROM part", levels=False)
 def extract_uasts(t: Levels):
-    return _sources(t).extract_uasts().select("p_partkey", F.size("uast").alias("trees"))
+    """Nodes of trees by their kinds, in sources that differ in size and hold names of the table."""
+    line = F.concat(F.lit("v = g(1)\n"))
+    code = F.concat(F.lit("def f(a):\n    return h()\n"), F.repeat(line, (F.col("p_size") % 4 + 1).cast("int")), F.lit("'"), F.col("p_brand"), F.lit("'\n'"), F.col("p_type"), F.lit("'\n"))
+    parts = t.source("part").repartition(t.spark.sparkContext.defaultParallelism)
+    trees = BlobsFrame(parts.select("p_partkey", F.lit("m.py").alias("path"), F.encode(code, "utf-8").alias("content")), t).extract_uasts()
+    found = trees.query_uast("//Call", output_col="calls").query_uast("//Assign", output_col="assigns").query_uast("//Expr/Constant", output_col="texts")
+    return found.extract_tokens("texts", "words").select("p_partkey", F.size("uast").alias("trees"), F.size("calls").alias("calls"), F.size("assigns").alias("assigned"), F.array_join("words", ",").alias("texts"))
 
 
 @query("SELECT p_partkey, 'getcwd' AS tokens FROM part", levels=False)
@@ -341,15 +358,20 @@ def query_uast(t: Levels):
     return calls.extract_tokens("result2").select("p_partkey", F.array_join("tokens", ",").alias("tokens"))
 
 
-@query("SELECT page_id, true AS parsed FROM pages", levels=False)
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS links, replace(trim(regexp_extract(html, '<title>([^<]*)', 1)), '&amp;', '&') AS title FROM pages", levels=False)
 def html_uasts(t: Levels):
+    """Elements and texts of trees of pages, unclosed ones included."""
     pages = t.source("pages").select("page_id", F.lit("index.html").alias("path"), F.encode("html", "utf-8").alias("content"))
-    return uast.extract(pages).select("page_id", (F.size("uast") == 1).alias("parsed"))
+    trees = BlobsFrame(pages, t).extract_uasts().query_uast("//p", output_col="paragraphs").query_uast("//a", output_col="links").query_uast("//title/text", output_col="titles")
+    words = trees.extract_tokens("titles", "words")
+    return words.select("page_id", F.size("paragraphs").alias("paragraphs"), F.size("links").alias("links"), F.array_join("words", " ").alias("title"))
 
 
-@query("SELECT repository_id, reference_name, index, hash, message, parents_count FROM commits")
+@query("SELECT repository_id, reference_name, index, hash, message, parents_count, (SELECT count(*) FROM tree_entries e WHERE e.commit_hash = hash AND e.repository_id = commits.repository_id AND e.reference_name = commits.reference_name) AS entries FROM commits")
 def metadata_roundtrip(t: Levels):
-    """Commits split into rows of their own and links, and joined again."""
-    commits = t.table("commits")
-    rows, links = commits.drop("repository_id", "reference_name", "index").dropDuplicates(["hash"]), commits.select("hash", "reference_name", "repository_id", "index")
-    return links.join(rows, "hash").select(*COMMIT)
+    """Saved as a snapshot, loaded from it, and commits joined with their entries."""
+    folder = t.scratch("snapshot")
+    metadata.save(t.spark, t.whole, folder)
+    loaded = metadata.load(t.spark, folder)
+    entries = loaded["tree_entries"].groupBy("repository_id", "reference_name", F.col("commit_hash").alias("hash")).agg(F.count("*").alias("entries"))
+    return loaded["commits"].join(entries, ["repository_id", "reference_name", "hash"], "left").select(*COMMIT, F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))

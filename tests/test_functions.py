@@ -10,12 +10,18 @@ from quarryline.functions import languages, register, scalar, uast
 from quarryline.sources.identity import id_of_urls
 
 FILES = [
-    ("hash1", False, "foo.py", b"with open('somefile.txt') as f: contents=f.read()", "Python"),
-    ("hash2", False, "bar.java", b"public class Hello extends GenericServlet { }", "Java"),
-    ("hash3", False, "baz.go", None, "Go"),
-    ("hash4", False, "no-filename", b"#!/usr/bin/env python -tt", "Python"),
-    ("hash5", False, "unknown", None, None),
-    ("hash6", True, "binary-file", b"\x00\x00\x00\x00", None),
+    ("f01", False, "app/main.py", b"from sys import argv\nprint(argv)\n", "Python"),
+    ("f02", False, "lib/Shape.java", b"class Shape {}\n", "Java"),
+    ("f03", False, "cmd/run.go", None, "Go"),
+    ("f04", False, "tools/start", b"#! /usr/bin/python3\nimport os\n", "Python"),
+    ("f05", False, "tools/serve", b"#!/usr/bin/env node\nserve()\n", "JavaScript"),
+    ("f06", False, "notes", b"nothing tells\n", None),
+    ("f07", False, "empty-content", None, None),
+    ("f08", True, "img/logo.py", b"\x89\x00\x00", None),
+    ("f09", None, "Makefile", b"all:\n", "Makefile"),
+    ("f10", False, "a.b/c", b"x", None),
+    ("f11", False, "UPPER.PY", b"x = 1\n", "Python"),
+    ("f12", False, None, b"#!/bin/sh\n", "Shell"),
 ]
 
 
@@ -30,8 +36,8 @@ def test_languages(spark, files):
     register(spark)
     files.createOrReplaceTempView("files")
     assert {r[0]: r[1] for r in spark.sql("SELECT file_hash, classifyLanguages(is_binary, path, content) FROM files").collect()} == want
-    row = spark.sql("SELECT size(extractUASTs(path, content, 'Python')) a, extractTokens(queryXPath(extractUASTs(path, content, 'Python'), '//Attribute')) b, concatArray(array('x', 'y'), '|') c FROM files WHERE file_hash = 'hash1'").first()
-    assert row["a"] == 1 and row["b"] == ["read"] and row["c"] == "x|y"
+    row = spark.sql("SELECT size(extractUASTs(path, content, 'Python')) a, extractTokens(queryXPath(extractUASTs(path, content, 'Python'), '//Call/Name')) b, concatArray(array('x', 'y'), '|') c FROM files WHERE file_hash = 'f01'").first()
+    assert row["a"] == 1 and row["b"] == ["print", "argv"] and row["c"] == "x|y"
     with pytest.raises(ValueError, match="lacks"):
         languages.classify(files.drop("path"))
 
@@ -41,7 +47,8 @@ def test_xpath():
     tags = lambda q: [e.tag for e in uast.xpath(root, q)]
     assert tags("//c") == ["c", "c"] and tags("/a/c") == ["c"] and tags("/*") == ["a"] and tags("//*[@x and not(@y)]") == ["c"]
     assert tags("//*[@y='3' or @y='2']") == ["b", "c"] and tags("//b[@x]//c") == ["c"] and tags("/*[not(@x)]") == ["a"]
-    for bad in ("a", "//a[1]", "//a[f()]", "//*[@x"):
+    assert tags("//*[not(@x or @y) or (@x and @y='2')]") == ["a", "b"] and tags("//c[@x][@x='1']") == ["c"] and tags("//*[@x='2']") == []
+    for bad in ("a", "", "//*[]", "//*[@x and]", "//*[not @x]", "//*[(@x]", "//*[@x @y]", "//a[1]", "//a[f()]", "//*[@x"):
         with pytest.raises((ValueError, SyntaxError)):
             uast.xpath(root, bad)
 
@@ -50,6 +57,10 @@ def test_trees_of_odd_files():
     assert uast.parse("a.py", b"", "Python") == [] and uast.parse("a.py", None, "Python") == [] and uast.parse("a.md", b"# x", "Markdown") == []
     assert uast.parse("a.py", b"def (", "Python") == [] and uast.parse("a.py", b"x = 1", None) and uast.parse("x", b"#!/usr/bin/python\nx", None)
     assert uast.parse("a.py", b"x = '" + b"\\x01" + b"'", "Python") and uast.node_tokens(None) == [] and uast.query_nodes(None, "//*") is None
+    deep = uast.parse("i.html", b"<b>" * 5000 + b"x", "HTML")
+    assert uast.node_tokens(uast.query_nodes(deep, "//b/text")) == ["x"] and len(uast.query_nodes(deep, "/Document/b/b/b/b")) == 1  # no level is lost
+    odd = uast.parse("a.py", "x = '<\"&\\'>\\t\\r\\n é'\n".encode(), "Python")
+    assert uast.node_tokens(uast.query_nodes(odd, "//Constant")) == ["<\"&'>\t\r\n é"] == [ET.fromstring(uast.query_nodes(odd, "//Constant")[0]).get("token")]
     assert b"token=\"p\"" in uast.parse("i.html", b"<html><p>x<br><b>y", "HTML")[0]
 
 
