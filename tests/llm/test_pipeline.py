@@ -68,7 +68,7 @@ def test_run_equals_brute_force(spark, docs):
         clean.append((i, secret_scan.masked(text, bad)))
     assert sum(map(bool, steps)) >= 1 and len(clean) < len(rows) - 10
     bins, least = packed_right(corpus_pipeline.run(spark, folder).collect(), clean, tokenizer("word_bpe_49k.json"))
-    assert bins <= least + 1
+    assert bins <= 1.05 * least + 1, (bins, least)
 
 
 def test_stages_on_odd_rows(spark, docs):

@@ -214,11 +214,10 @@ def test_op9(spark, folder, texts):
 
 
 def packed_right(got, texts, encode):
-    """Every piece once, sequences gapless and within 2048 tokens; the number of sequences and the least that any packing needs."""
-    want, total = Counter(), 0
+    """Every piece once, sequences gapless and within 2048 tokens; the number of sequences and one that no packing goes below."""
+    want = Counter()
     for doc_id, text in texts:
         ids = np.array([*encode(text), 0], "<u4")
-        total += len(ids)
         want.update((doc_id, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048))
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
     bins = defaultdict(list)
@@ -230,9 +229,20 @@ def packed_right(got, texts, encode):
             assert offset == at
             at += length
         assert at <= 2048
-    return len(bins), -(-total // 2048)
+    return len(bins), fewest(sorted(r["length"] for r in got))
+
+
+def fewest(lengths, most=2048):
+    """Pieces over half a sequence are alone with small ones; what these have no room for needs sequences of its own."""
+    bound = -(-sum(lengths) // most)
+    for small in {0, *(x for x in lengths if 2 * x <= most)}:
+        lone = [x for x in lengths if x > most - small]
+        halves = [x for x in lengths if most / 2 < x <= most - small]
+        rest = sum(x for x in lengths if small <= x <= most / 2) - (len(halves) * most - sum(halves))
+        bound = max(bound, len(lone) + len(halves) + max(0, -(-rest // most)))
+    return bound
 
 
 def test_op10(spark, folder, texts):
     bins, least = packed_right(rows(spark, folder, "op10_packing"), texts, tokenizer("word_bpe_49k.json"))
-    assert bins <= least + 1
+    assert bins <= 1.05 * least + 1
