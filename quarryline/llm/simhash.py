@@ -331,17 +331,21 @@ def _common(rows: DataFrame, words: int, seed: int) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).collect()], np.int64))
 
 
-def _deal_roots(keyed: DataFrame) -> DataFrame:
-    """Rows (id, size, root, fp, key, keys, place) of keys that hold several roots, with block and unit as in _deal; rows of a large key's most frequent root meet only the others."""
+def _deal_roots(keyed: DataFrame, across: bool = True) -> DataFrame:
+    """Rows (id, size, root, fp, key, keys, place) of keys that hold several roots, with block and unit as in _deal; rows of a large key's most frequent root meet only the others.
+
+    across: blocks of one key meet each other; else each is by itself.
+    """
     roots = keyed.groupBy("key", "root").agg(F.count("*").alias("n"))
     shared = roots.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).filter("roots > 1")
     parts = lambda n: F.ceil(F.col(n) / WIDE_BLOCK).cast("int")
     placed = keyed.join(shared, "key").withColumn("small", F.col("n") <= WIDE_BLOCK).withColumn("most", F.when(F.col("small"), F.lit(0)).otherwise(F.col("main.n")))
     placed = placed.withColumn("rest", F.col("n") - F.col("most")).withColumn("mine", ~F.col("small") & (F.col("root") == F.col("main.root")))
     spread = lambda n: F.pmod(F.xxhash64("id"), parts(n)).cast("int")
+    several = F.sequence(F.lit(0), F.when(F.col("mine"), parts("rest")).otherwise(parts("rest") + parts("most")) - 1)
     return (
         placed.withColumn("block", F.when(F.col("mine"), parts("rest") + spread("most")).otherwise(spread("rest")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("mine"), parts("rest")).otherwise(parts("rest") + parts("most")) - 1)))
+        .withColumn("other", F.explode(several if across else F.array("block")))
         .select("id", "size", "root", "fp", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "key", "keys", "place")
     )
 
@@ -460,11 +464,8 @@ def _distance(x: str, y: str) -> str:
     return " + ".join(f"bit_count(cast({word(x, k)} as bigint) ^ cast({word(y, k)} as bigint))" for k in range(WIDE))
 
 
-def _verified(asked: DataFrame, first: DataFrame, rows: DataFrame, similarity: float, words: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b), a < b, whose shingle sets have the similarity. asked: (unit, node, partners), first: (node, doc_id), rows: (doc_id, text).
-
-    A set travels once to each unit that asks for it, however many pairs it has there.
-    """
+def _sets(rows: DataFrame, nodes: DataFrame, words: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
+    """(node, own): the shingle sets of the nodes (node, doc_id), from the rows (doc_id, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,6 +473,17 @@ def _verified(asked: DataFrame, first: DataFrame, rows: DataFrame, similarity: f
                 own = [shingle_set(t, words, seed) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([pa.array([_node(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "own"])
 
+    ids = nodes.select("doc_id").distinct()
+    own = rows.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "node long, own binary")  # as many ids as the corpus has copies: never broadcast
+    return scratch.table(own.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), name)  # rows of one id may hold several texts
+
+
+def _verified(asked: DataFrame, first: DataFrame, rows: DataFrame, similarity: float, words: int, seed: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b), a < b, whose shingle sets have the similarity. asked: (unit, node, partners), first: (node, doc_id), rows: (doc_id, text).
+
+    A set travels once to each unit that asks for it, however many pairs it has there.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, ([], [], [])
 
@@ -491,11 +503,8 @@ def _verified(asked: DataFrame, first: DataFrame, rows: DataFrame, similarity: f
             yield out()
 
     asked = scratch.table(asked.groupBy("unit", "node").agg(F.flatten(F.collect_list("partners")).alias("partners")), f"{name}-asked")
-    nodes = asked.select("node").distinct()
-    ids = first.join(nodes, "node", "left_semi").select("doc_id").distinct()
-    own = rows.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "node long, own binary")
-    own = scratch.table(own.join(nodes, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")  # rows of one id may hold several texts
-    units = asked.join(own, "node").select("unit", "node", "partners", "own").repartition("unit").sortWithinPartitions("unit")
+    sets = _sets(rows, first.join(asked.select("node").distinct(), "node", "left_semi"), words, seed, scratch, f"{name}-sets")
+    units = asked.join(sets, "node").select("unit", "node", "partners", "own").repartition("unit").sortWithinPartitions("unit")
     found = scratch.table(units.mapInArrow(run, "a long, b long").distinct(), name)
     scratch.drop(f"{name}-asked", f"{name}-sets")
     return found
@@ -519,8 +528,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
 
     Texts with equal sets are one node. Nodes that share a key (set_keys) meet in units as in `links`, where their wide fingerprints are compared bit by bit
     in slices; what is within the radius for the similarity is verified on both whole sets, so no link is below it, and one is missed with a probability
-    of about 1e-8. Three rounds keep large groups of near copies from being compared pair by pair: the nodes of a key of more than STAR with one of them, then
-    each node with one that is likely close enough, then all pairs that aren't joined yet. text_id is Spark's xxhash64 of the text; first marks the row (or, if it repeats, rows) of the smallest
+    of about 1e-8. Two rounds keep large groups of near copies from being compared pair by pair: first the nodes of a key of more than STAR with one of
+    them, and each node with one of its block that is likely close enough; then all pairs that aren't joined yet. text_id is Spark's xxhash64 of the text; first marks the row (or, if it repeats, rows) of the smallest
     (doc_id, text_id) of a group, component_id is its doc_id. Rows of one id and unlike texts are apart. Rows without an id take no part.
     """
     spark = docs.sparkSession
@@ -542,7 +551,6 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     with Scratch(spark, "similar") as scratch:
         marked = scratch.table(rows.mapInArrow(mark, "doc_id long, text_id long, node long, size long, fp binary, keys array<long>"), "marks")
         nodes = scratch.table(marked.groupBy("node").agg(F.min(F.struct("doc_id", "text_id")).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-        first = nodes.select("node", "least.doc_id")
         each = nodes.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
         several = each.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("center")).filter("rows > 1")
         keyed = scratch.table(each.join(several, "key").select("id", "key", "rows", "center"), "keys")
@@ -555,16 +563,15 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, words: int = 5,
         star = hot.select(F.xxhash64("center", F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / BLOCK))).alias("unit"), "id", "center")
         none = F.array().cast("array<long>")
         star = star.select("unit", F.col("id").alias("node"), F.array("center").alias("partners")).unionByName(star.select("unit", F.col("center").alias("node"), none.alias("partners")).distinct())
+        first = nodes.select("node", "least.doc_id")
         verify = lambda asked, name: _verified(asked, first, rows, similarity, words, seed, scratch, name)
 
-        edges = verify(star, "links-1")
-        rooted = scratch.table(_rooted(keyed, play, edges), "rooted-1")
-        edges = edges.unionByName(verify(_candidates(_deal_roots(rooted), similarity, likely=True), "links-2"))
-        scratch.drop("rooted-1")
-        rooted = scratch.table(_rooted(keyed, play, edges), "rooted-2")
+        alone = keyed.select("id", "key").join(play.withColumn("root", F.col("id")), "id")
+        edges = verify(star.unionByName(_candidates(_deal_roots(alone, across=False), similarity, likely=True)), "links-1")
+        rooted = scratch.table(_rooted(keyed, play, edges), "rooted")
         scratch.drop("keys", "play")
-        edges = edges.unionByName(verify(_candidates(_deal_roots(rooted), similarity), "links-3"))
-        scratch.drop("rooted-2")
+        edges = edges.unionByName(verify(_candidates(_deal_roots(rooted), similarity), "links-2"))
+        scratch.drop("rooted")
         label = nodes.select("node", F.col("node").alias("root"), "least")
         if not edges.isEmpty():
             label = nodes.select("node", "least").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
