@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Bytes of vectors in a block of candidates, candidates in it at most, blocks to a slot, queries in a block, dimensions added at once.
-BLOCK_BYTES, BLOCK, SLOT, QUERY_BLOCK, DIMS = 8 << 20, 16_384, 4, 512, 16
+BLOCK_BYTES, BLOCK, SLOT, QUERY_BLOCK, DIMS = 8 << 20, 8192, 1, 512, 16
 #: Pairs go on as a list once fewer than this share of the matrix is left.
 SPARSE = 0.1
 
