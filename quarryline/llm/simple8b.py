@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 from .token_ids import library_coder, spaced_chunks
 
 # Fixed values: (ids in a word, bits of each), by selector; selectors 0 and 1 stand for runs of zeros.
@@ -160,8 +160,10 @@ def _decoded(spark: SparkSession, path: str, schema: str, row: Callable) -> Data
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    before = materialize(before, "bases")  # a small row for each file: Spark broadcasts it as long as its size allows, and the blocks stay where they are
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_coder.cache_clear()  # a worker that has written before needs its memo no more
         arrow = [pa.int64() if f.split()[1] == "long" else pa.binary() for f in schema.split(", ")]
         for batch in batches:
             for base, offset, doc_ids, lengths, words in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):

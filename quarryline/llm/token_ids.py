@@ -57,22 +57,22 @@ class ChunkCoder:
     def _ids(self, chunks: list[str]) -> Iterable[bytes]:
         return (array("I", ids).tobytes() for ids in self.encode(chunks))
 
+    def _new(self, chunks: list[str | tuple[str]]) -> Iterable[bytes]:
+        """The ids of chunks that the memo doesn't hold."""
+        return self._ids([c if type(c) is str else c[0] for c in ((self.lead + c) if type(c) is str else c for c in chunks)])
+
     def __call__(self, split: list[list[str | tuple[str]]]) -> list[bytes]:
         """The ids of each text, given as its chunks."""
         memo, get, out = self.memo, self.memo.get, []
         for chunks in split:
-            if len(memo) > MEMO:
-                memo.clear()
             found = list(map(get, chunks))
-            missing = [i for i, ids in enumerate(found) if ids is None]
-            if missing:
-                new = list({chunks[i] for i in missing})
-                memo.update(zip(new, self._ids([c[0] if type(c) is tuple else self.lead + c for c in new]), strict=True))
-                for i in missing:
-                    found[i] = memo[chunks[i]]
-                for chunk in new:
-                    if len(chunk) > LONG:
-                        del memo[chunk]
+            if None in found:
+                if len(memo) > MEMO:
+                    memo.clear()
+                new = list({c for c, ids in zip(chunks, found, strict=True) if ids is None})
+                known = dict(zip(new, self._new(new), strict=True))
+                memo.update({c: ids for c, ids in known.items() if len(c if type(c) is str else c[0]) <= LONG})
+                found = [known[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
             out.append(b"".join(found))
         return out
 
@@ -123,36 +123,63 @@ class LibraryCoder(ChunkCoder):
         self.merge = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
         self.bytes = {b: c for b, c in enumerate(byte_letters())}
+        self.space = self.bytes[ord(" ")]
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.words: dict[str, bytes] = {}
         self.signs: dict[str, bytes] = {"": b""}
         encode = lambda chunks: (e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)) if chunks else ()
         super().__init__(encode, "" if self.lower else " ")
 
+    def _new(self, chunks: list[str | tuple[str]]) -> list[bytes]:
+        """Words of ASCII letters, which stand for themselves, are merged at once; one with signs behind it takes or leaves its word in the memo."""
+        memo, merge, packed, lower, lead = self.memo, self.merge, self.packed, self.lower, self.lead and self.space
+        out, others = [], []
+        for chunk in chunks:
+            if type(chunk) is str and (head := chunk.rstrip(_SIGNS)).isalpha() and head.isascii() and len(head) <= LONG:
+                alone = len(head) == len(chunk)
+                ids = None if alone else memo.get(head)
+                if ids is None:
+                    ids = b"".join([packed[t.id] for t in merge(lead + (head.lower() if lower else head))])
+                    if not alone:
+                        memo[head] = ids
+                out.append(ids if alone else ids + self._tail(chunk[len(head) :]))
+            else:
+                out.append(None)
+                others.append(chunk)
+        if others:
+            rest = iter(super()._new(others))
+            out = [next(rest) if ids is None else ids for ids in out]
+        return out
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.signs.get(tail)
+        if ids is None:
+            if len(self.signs) > MEMO:
+                self.signs.clear()
+            ids = self.signs[tail] = next(iter(ChunkCoder._ids(self, [tail])))
+        return ids
+
     def _word(self, word: str) -> bytes:
         mapped = word.encode().decode("latin-1").translate(self.bytes)
-        return array("I", [t.id for t in self.merge(mapped)]).tobytes()
+        return b"".join([self.packed[t.id] for t in self.merge(mapped)])
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
         if len(self.words) > MEMO:
             self.words.clear()
+        words, lower = self.words, self.lower
         for chunk in chunks:
             head = chunk.rstrip(_SIGNS)
-            word = head.lower() if self.lower else head
-            bare = word[1:] if word[:1] == " " else word
-            if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0250") and len(bare) <= LONG):
-                out.append(None)
-                continue
-            ids = self.words.get(word)
+            word = head.lower() if lower else head
+            ids = words.get(word)
             if ids is None:
-                ids = self.words[word] = self._word(word)
+                bare = word[1:] if word[:1] == " " else word
+                if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0250") and len(bare) <= LONG):
+                    out.append(None)
+                    continue
+                ids = words[word] = self._word(word)
             if len(head) < len(chunk):
-                tail = chunk[len(head) :]
-                if tail not in self.signs:
-                    if len(self.signs) > MEMO:
-                        self.signs.clear()
-                    self.signs[tail] = next(super()._ids([tail]))
-                ids += self.signs[tail]
+                ids += self._tail(chunk[len(head) :])
             out.append(ids)
         others = iter(super()._ids([c for c, ids in zip(chunks, out, strict=True) if ids is None]))
         return [next(others) if ids is None else ids for ids in out]
