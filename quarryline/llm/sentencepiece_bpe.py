@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .token_ids import ChunkCoder, byte_letters, spaced_chunks
+from .token_ids import ChunkCoder, byte_letters
 
 # Fields of the serialised model (field number, wire type) and the enumeration values used.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -84,7 +84,7 @@ class ByteBpe:
         self.letters = byte_letters()
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialize_model(self.tokens))
         self.find = regex.compile(pattern).findall
-        self.coder = ChunkCoder(self._encode, lead=" ")
+        self.coder = ChunkCoder(self._encode)
 
     def _encode(self, chunks: list[str]) -> Iterator[list[int]]:
         raw = [[m.encode() for m in self.find(chunk)] for chunk in chunks]
@@ -99,9 +99,9 @@ class ByteBpe:
                     ids += merged[m]
             yield ids
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
-        return self.coder([spaced_chunks(t) for t in texts])
+        return self.coder(texts)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, array("I", ids)))
@@ -124,7 +124,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         bpe = _bpe(path, pattern)
         for batch in batches:
             for part in slices(batch, 1):
-                ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
+                ids = bpe.encode(part.column(1))
                 yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
-from .token_ids import library_coder, spaced_chunks
+from .token_ids import library_coder
 
 # Fixed values: (ids in a word, bits of each), by selector; selectors 0 and 1 stand for runs of zeros.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -110,7 +110,7 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return ids
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", coder: Callable = library_coder, split: Callable = spaced_chunks) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", coder: Callable = library_coder) -> None:
     """Encode every whole text, append end_id to each, and write the files at path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +129,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_co
 
         for batch in batches:
             for piece in slices(batch, 1):
-                coded = encode([split(t or "") for t in piece.column(1).to_pylist()])
-                for doc_id, ids in zip(piece.column(0).to_pylist(), coded, strict=True):
+                for doc_id, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1)), strict=True):
                     doc_ids.append(doc_id)
                     held.append(ids + end)
                     size += len(ids) // 4 + 1

@@ -1,9 +1,9 @@
 """Whole texts to token ids with the tokenizers library, each distinct chunk of a text encoded once per worker.
 
-A text is cut before every single space (and around every single line end) that stands between two characters that aren't white space. The
+A text is cut before every single space and around every single line end that stands between two characters that aren't white space. The
 pre-tokenizers of the vocabularies used here never let a token cross such a place, so the ids of a text are those of
-its chunks in turn; the library sees every distinct chunk whole. Chunks and ids of words seen before come from a
-memo that is emptied at MEMO entries, which bounds a worker's memory and changes no result.
+its chunks in turn; the library sees every distinct chunk whole. Arrow cuts a slice of texts into chunks, finds the distinct ones
+and puts their ids in place. Chunks seen before come from a memo that is emptied at MEMO entries, which bounds a worker's memory and changes no result.
 
 Strings of special tokens in a text are ordinary text, as the notes that come with the vocabularies have it: a document must not be able to write
 an end of document. A file with another pre-tokenizer or normalizer than those cuts are safe for is refused.
@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries after which a worker's memo starts anew.
 MEMO = 500_000
 #: Chunks beyond this many characters are encoded without being kept.
@@ -25,7 +28,9 @@ LONG = 48
 
 #: Signs that may close a word and form a pre-token of their own behind it.
 _SIGNS = ".,;:!?*$%&#|)"
-_SINGLE_SPACE = re.compile(r" (?=\S)(?<=\S )")
+#: Bytes that are white space, and characters of white space that take two or three bytes, as numbers of those bytes.
+_WHITE = np.array([k < 128 and chr(k).isspace() for k in range(256)])
+_WIDE = [int.from_bytes(chr(k).encode(), "big") for k in range(128, 1 << 16) if chr(k).isspace()]
 
 
 def byte_letters() -> str:
@@ -45,62 +50,64 @@ SAFE = (
 )
 
 
-class ChunkCoder:
-    """encode: distinct chunks to lists of ids. A memo maps chunks to their ids as little-endian uint32 bytes.
+def cut(data: np.ndarray) -> np.ndarray:
+    """Where to cut UTF-8 bytes: before each single space and around each single line end among other characters."""
+    white = _WHITE[data]
+    for size, lead in ((2, data == 0xC2), (3, (data >= 0xE1) & (data <= 0xE3))):
+        at = np.flatnonzero(lead[: len(data) - size + 1])
+        found = at[np.isin(sum(data[at + k].astype(np.int64) << 8 * (size - 1 - k) for k in range(size)), _WIDE)]
+        for k in range(size):
+            white[found + k] = True
+    single = white.copy()
+    single[1:] &= ~white[:-1]
+    single[:-1] &= ~white[1:]
+    ends = single & (data == 0x0A)
+    first = ends | single & (data == 0x20)
+    first[1:] |= ends[:-1]
+    return np.flatnonzero(first)
 
-    The chunks of a text come without the space before them, which lead adds; the first, which has none, comes in a tuple.
-    """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], lead: str = ""):
-        self.encode, self.lead, self.memo = encode, lead, {}
+class ChunkCoder:
+    """encode: distinct chunks to lists of ids. A memo maps chunks to their ids as little-endian uint32 bytes."""
 
-    def _ids(self, chunks: list[str]) -> Iterable[bytes]:
-        return (array("I", ids).tobytes() for ids in self.encode(chunks))
+    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]]):
+        self.encode, self.memo = encode, {}
 
-    def _new(self, chunks: list[str | tuple[str]]) -> Iterable[bytes]:
+    def _new(self, chunks: list[str]) -> list[bytes]:
         """The ids of chunks that the memo doesn't hold."""
-        return self._ids([c if type(c) is str else c[0] for c in ((self.lead + c) if type(c) is str else c for c in chunks)])
-
-    def __call__(self, split: list[list[str | tuple[str]]]) -> list[bytes]:
-        """The ids of each text, given as its chunks."""
-        memo, get, out = self.memo, self.memo.get, []
-        for chunks in split:
-            found = list(map(get, chunks))
-            if None in found:
-                if len(memo) > MEMO:
-                    memo.clear()
-                new = list({c for c, ids in zip(chunks, found, strict=True) if ids is None})
-                known = dict(zip(new, self._new(new), strict=True))
-                memo.update({c: ids for c, ids in known.items() if len(c if type(c) is str else c[0]) <= LONG})
-                found = [known[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
-            out.append(b"".join(found))
-        return out
-
-
-_ADJACENT = re.compile(r"\s\s")
-
-
-_LINE_END = ("\n",)
-
-
-def spaced_chunks(text: str) -> list[str | tuple[str]]:
-    """The chunks of a text for byte-level vocabularies, where a space belongs to the word after it and a lone line end stands for itself."""
-    if _ADJACENT.search(text):
-        chunks = _SINGLE_SPACE.split(text)
-        chunks[0] = (chunks[0],)
-        return chunks
-    first, *rest = text.split("\n")
-    chunks = first.split(" ")
-    chunks[0] = (chunks[0],)
-    for line in rest:
-        start, *more = line.split(" ")
-        chunks += _LINE_END, (start,), *more
-    return chunks
-
-
-def bare_chunks(text: str) -> list[str | tuple[str]]:
-    """Chunks between spaces and line ends, for vocabularies that drop white space."""
-    return text.replace("\n", " ").split(" ")
+        return [array("I", ids).tobytes() for ids in self.encode(chunks)]
+
+    def _distinct(self, chunks: list[str]) -> list[bytes]:
+        memo = self.memo
+        found = list(map(memo.get, chunks))
+        new = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
+        if not new:
+            return found
+        if len(memo) > MEMO:
+            memo.clear()
+        coded = self._new(new)
+        memo.update((c, ids) for c, ids in zip(new, coded, strict=True) if len(c) <= LONG)
+        rest = iter(coded)
+        return [next(rest) if ids is None else ids for ids in found]
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a null has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        low, high = int(bounds[0]), int(bounds[-1])
+        if low == high:
+            return [b""] * len(texts)
+        bounds, data = bounds - low, data.slice(low, high - low)
+        first = np.zeros(high - low + 1, bool)
+        first[cut(np.frombuffer(data, np.uint8))] = True
+        first[bounds] = True
+        starts = np.flatnonzero(first)
+        chunks = pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), data).dictionary_encode()
+        placed = pa.array(self._distinct(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(chunks.indices)
+        _, offsets, ids = placed.buffers()
+        ends, ids = np.frombuffer(offsets, np.int64)[np.searchsorted(starts, bounds)].tolist(), memoryview(ids)
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class LibraryCoder(ChunkCoder):
@@ -122,68 +129,47 @@ class LibraryCoder(ChunkCoder):
         self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-        self.bytes = {b: c for b, c in enumerate(byte_letters())}
-        self.space = self.bytes[ord(" ")]
+        self.letters = dict(enumerate(byte_letters()))
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.words: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
-        encode = lambda chunks: (e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)) if chunks else ()
-        super().__init__(encode, "" if self.lower else " ")
-
-    def _new(self, chunks: list[str | tuple[str]]) -> list[bytes]:
-        """Words of ASCII letters, which stand for themselves, are merged at once; one with signs behind it takes or leaves its word in the memo."""
-        memo, merge, packed, lower, lead = self.memo, self.merge, self.packed, self.lower, self.lead and self.space
+        self.signs: dict[str, bytes] = {}
+        super().__init__(lambda chunks: (e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)) if chunks else ())
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """A word with signs behind it takes or leaves the word in the memo. White space before a word is a letter of it or, where letters are lowered, dropped."""
+        memo, merge, packed, letters, lower = self.memo, self.merge, self.packed, self.letters, self.lower
+        space = "" if lower else letters[ord(" ")]
         out, others = [], []
         for chunk in chunks:
-            if type(chunk) is str and (head := chunk.rstrip(_SIGNS)).isalpha() and head.isascii() and len(head) <= LONG:
-                alone = len(head) == len(chunk)
-                ids = None if alone else memo.get(head)
-                if ids is None:
-                    ids = b"".join([packed[t.id] for t in merge(lead + (head.lower() if lower else head))])
-                    if not alone:
-                        memo[head] = ids
-                out.append(ids if alone else ids + self._tail(chunk[len(head) :]))
-            else:
+            word = chunk.rstrip(_SIGNS)
+            led = word[:1] == " "
+            bare = word[1:] if led else word
+            if lower:
+                bare = bare.lower()
+            ascii_only = bare.isascii()
+            if not (bare.isalpha() and len(bare) <= LONG and (ascii_only or max(bare) < "\u0250")):
                 out.append(None)
                 others.append(chunk)
-        if others:
-            rest = iter(super()._new(others))
-            out = [next(rest) if ids is None else ids for ids in out]
-        return out
+                continue
+            alone = len(word) == len(chunk)
+            ids = None if alone else memo.get(word)
+            if ids is None:
+                if not ascii_only:
+                    bare = bare.encode().decode("latin-1").translate(letters)
+                ids = b"".join([packed[t.id] for t in merge(space + bare if led else bare)])
+                if not alone:
+                    memo[word] = ids
+            out.append(ids if alone else ids + self._tail(chunk[len(word) :]))
+        rest = iter(super()._new(others))
+        return [next(rest) if ids is None else ids for ids in out]
 
     def _tail(self, tail: str) -> bytes:
         ids = self.signs.get(tail)
         if ids is None:
             if len(self.signs) > MEMO:
                 self.signs.clear()
-            ids = self.signs[tail] = next(iter(ChunkCoder._ids(self, [tail])))
+            ids = self.signs[tail] = super()._new([tail])[0]
         return ids
 
-    def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.bytes)
-        return b"".join([self.packed[t.id] for t in self.merge(mapped)])
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        if len(self.words) > MEMO:
-            self.words.clear()
-        words, lower = self.words, self.lower
-        for chunk in chunks:
-            head = chunk.rstrip(_SIGNS)
-            word = head.lower() if lower else head
-            ids = words.get(word)
-            if ids is None:
-                bare = word[1:] if word[:1] == " " else word
-                if not (bare.isalpha() and (bare.isascii() or max(bare) < "\u0250") and len(bare) <= LONG):
-                    out.append(None)
-                    continue
-                ids = words[word] = self._word(word)
-            if len(head) < len(chunk):
-                ids += self._tail(chunk[len(head) :])
-            out.append(ids)
-        others = iter(super()._ids([c for c, ids in zip(chunks, out, strict=True) if ids is None]))
-        return [next(others) if ids is None else ids for ids in out]
-
 
 @lru_cache(maxsize=2)
 def library_coder(path: str) -> ChunkCoder:

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import materialize, slices
-from .token_ids import bare_chunks, library_coder
+from .token_ids import library_coder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, coder: Callable = library_coder, split: Callable = bare_chunks) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, coder: Callable = library_coder) -> DataFrame:
     """Encode every whole text, append end_id, and cut only what is longer than max_tokens. keep_ids adds the pieces' ids as little-endian uint32 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, max_tokens: int = 2048, end_id
         for batch in batches:
             for part in slices(batch, 1):
                 rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode([split(t or "") for t in part.column(1).to_pylist()]), strict=True):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), step)):
                         own = ids[at : at + step]

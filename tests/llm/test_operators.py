@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm import chat_format, feistel, quality_ledger, secret_scan, sentencepiece_bpe, sharding, simhash, simple8b, vector_packing, vector_search
 from quarryline.llm.common import materialize, scratch_path
-from quarryline.llm.token_ids import bare_chunks, library_coder, spaced_chunks
+from quarryline.llm.token_ids import library_coder
 
 SCHEMA = "doc_id long, text string, lang string, fp string, piece string"
 ODD = [
@@ -344,11 +345,18 @@ def test_simple8b_files(spark, odd, empty):
     assert simple8b.read_ids(spark, other).count() == 0
 
 
-@pytest.mark.parametrize(("name", "split"), [("byte_bpe_50k.json", spaced_chunks), ("word_bpe_49k.json", bare_chunks)])
-def test_chunks_give_the_ids_of_whole_texts(name, split):
+WHITES = [" ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_give_the_ids_of_whole_texts(name):
     encode, coder = tokenizer(name), library_coder(public_tokenizers.path(name))
     texts = [r[1] or "" for r in ODD] + [f"a{chr(k)}, b{chr(k)} {chr(k)}. {chr(k)}x" for k in [*range(0x2000), *range(0x2000, 0xD800, 37), 0x1F600]] + ["İstanbul. ſ, ŉ it'S. a  b\n c"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in coder([split(t) for t in texts])] == [encode(t) for t in texts]
+    texts += [f"{a}{x}{y}{b}" for a in ("", "é", "w.") for x in WHITES for y in ("", *WHITES) for b in ("", "ü", "'s")]
+    found = coder(pa.array([*texts, None]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [*map(encode, texts), []]
+    cut = coder(pa.array(["left out", *texts]).slice(3, 7))  # a slice begins within its buffers
+    assert cut == found[2:9] and coder(pa.array([], pa.string())) == [] and coder(pa.array([None, ""])) == [b"", b""]
 
 
 # --- 7 top-k
