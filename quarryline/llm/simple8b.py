@@ -29,6 +29,10 @@ from .token_ids import library_coder
 
 # Fixed values: (ids in a word, bits of each), by selector; selectors 0 and 1 stand for runs of zeros.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
+#: One more than the widest selector an id doesn't fit, by id; those beyond the table's end are as wide as its last up to 20 bits.
+NARROW = np.zeros(1 << 16, np.uint8)
+for _bits in sorted({b for _, b in SELECTORS if b < 16}):
+    NARROW[1 << _bits :] = _bits + 1
 #: A word of selector 1 with this payload says that the next word is one raw id.
 ESCAPE = 1 << 59
 #: Ids after which a block ends, at the end of a document.
@@ -43,9 +47,10 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    width = np.zeros(n, np.uint8)
-    for bits in sorted({b for _, b in SELECTORS}):
-        width[ids >= np.uint64(1 << bits)] = bits + 1  # over this many bits
+    width, most = NARROW[np.minimum(ids, len(NARROW) - 1)], int(ids.max())
+    for bits in (20, 30, 60):
+        if most >> bits:
+            width[ids >= np.uint64(1 << bits)] = bits + 1
     best = np.full(n, 16, np.uint8)  # the escape, unless a selector fits
     reach, have = width.copy(), 1
     for code in range(15, 1, -1):
